@@ -2,25 +2,50 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import encode_decode
 from .exact_dedup import exact_dedup
+from .packing import pack_documents
 from .sharding import shard
 
 
+def _tokenizer(name: str) -> str:
+    """Where a public tokenizer's file is, on the driver and the executors."""
+    folder = os.environ.get("GLACIS_TOKENIZERS")
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = encode_decode(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op5_exact_dedup, op9_packing, op10_sharding)}
 
 ORACLE = {
     "op5_exact_dedup": """
