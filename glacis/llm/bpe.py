@@ -16,6 +16,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -216,7 +217,7 @@ def loaded(path: str) -> PrefixBPE:
 def blocks(batches, column: int, most: int):
     """Slices of Arrow batches with about ``most`` characters of text (one row at least): (slice, texts)."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, size in enumerate(sizes):
             held += size
