@@ -11,6 +11,7 @@ from .bpe import encode_decode
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
 from .sharding import shard
+from .toxicity import fit, toxicity
 
 
 def _tokenizer(name: str) -> str:
@@ -37,6 +38,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"))
 
@@ -45,7 +51,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op5_exact_dedup, op9_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op5_exact_dedup, op6_toxicity, op9_packing, op10_sharding)}
 
 ORACLE = {
     "op5_exact_dedup": """
