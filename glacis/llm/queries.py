@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_decode
 from .exact_dedup import exact_dedup
+from .html import extract
 from .packing import pack_documents
 from .sharding import shard
 from .toxicity import fit, toxicity
@@ -34,6 +35,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +56,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op5_exact_dedup, op6_toxicity, op9_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_html, op5_exact_dedup, op6_toxicity, op9_packing, op10_sharding)}
 
 ORACLE = {
     "op5_exact_dedup": """
