@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import encode_decode
 from .exact_dedup import exact_dedup
 from .html import extract
+from .jaccard import jaccard_components
 from .packing import pack_documents
 from .sharding import shard
 from .toxicity import fit, toxicity
@@ -48,6 +49,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"))
 
@@ -56,7 +61,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_html, op5_exact_dedup, op6_toxicity, op9_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_html, op5_exact_dedup, op6_toxicity, op7_jaccard, op9_packing, op10_sharding)}
 
 ORACLE = {
     "op5_exact_dedup": """
