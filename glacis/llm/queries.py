@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode
+from .covertree import near_components
 from .exact_dedup import exact_dedup
 from .html import extract
 from .jaccard import jaccard_components
@@ -31,6 +32,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = encode_decode(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -61,7 +66,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_html, op5_exact_dedup, op6_toxicity, op7_jaccard, op9_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_cover_tree, op2_bpe, op3_html, op5_exact_dedup, op6_toxicity, op7_jaccard, op9_packing, op10_sharding)}
 
 ORACLE = {
     "op5_exact_dedup": """
