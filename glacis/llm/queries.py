@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode
+from . import langid
+from .chat import conversations
 from .covertree import near_components
 from .exact_dedup import exact_dedup
 from .html import extract
@@ -45,6 +47,11 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.fit(_table(spark, sf_dir, "documents"))
+    return langid.page_languages(_table(spark, sf_dir, "pages"), model)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +65,10 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"))
 
@@ -66,7 +77,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_cover_tree, op2_bpe, op3_html, op5_exact_dedup, op6_toxicity, op7_jaccard, op9_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_cover_tree, op2_bpe, op3_html, op4_langid, op5_exact_dedup, op6_toxicity, op7_jaccard, op8_chat, op9_packing, op10_sharding)}
 
 ORACLE = {
     "op5_exact_dedup": """
