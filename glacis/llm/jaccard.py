@@ -197,20 +197,35 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     def take(batches):
         held, bits = passing.value
         for _, texts in blocks(batches, 0, BLOCK_CHARS):
-            node, keys, values = [], [], []
-            for _, own, hashes, s in found(texts):
+            rows = []
+            for _, node, hashes, s in found(texts):
                 s = s[_held(held, bits, s)] if len(s) else s
                 if len(s):
-                    node.append(own)
-                    keys.append(_signed(s))
-                    values.append(_signed(hashes))
-            if node:
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.array(node, np.uint64))), pa.array(keys, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.int64()))], ["node", "keys", "hashes"])
-
-    taken = stored(source.select("text").mapInArrow(take, "node long, keys array<long>, hashes array<long>").withColumn("row", F.monotonically_increasing_id()), "candidates")
-    first = taken.groupBy("node").agg(F.min("row").alias("row")).select("row")
-    unique = stored(taken.join(first, "row", "left_semi").drop("row"), "candidates")
-    members = stored(unique.select("node", F.size("hashes").alias("n"), F.size("keys").alias("shared"), F.explode("keys").alias("key")), "members")
+                    rows.append((s, np.full(len(s), node), np.full(len(s), len(hashes))))
+            if rows:
+                key_, node, n = map(np.concatenate, zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(key_)), pa.array(_signed(node)), pa.array(n, pa.int64())], ["key", "node", "n"])
+
+    # equal texts name the same rows, which are one from here on
+    taken = stored(source.select("text").mapInArrow(take, "key long, node long, n long").distinct(), "candidates")
+    members = stored(taken.join(several, "key"), "members")
+    nodes = stored(members.groupBy("node", "n").agg(F.count("*").alias("shared")), "nodes")
+    members = stored(members.drop("n").join(nodes, "node"), "members")
+    wanted = spark.sparkContext.broadcast(_filter(nodes.select(F.col("node").alias("key"))))
+
+    def fetch(batches):
+        held, bits = wanted.value
+        for _, texts in blocks(batches, 0, BLOCK_CHARS):
+            hashes, offsets = sets(texts, words)
+            own = identity(hashes, offsets)
+            hit = np.flatnonzero(_held(held, bits, own) & (np.diff(offsets) > 0))
+            if len(hit):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_signed(own[hit])), pa.array([_signed(hashes[offsets[i]:offsets[i + 1]]) for i in hit], pa.list_(pa.int64()))], ["node", "hashes"])
+
+    sets_ = stored(source.select("text").mapInArrow(fetch, "node long, hashes array<long>").withColumn("row", F.monotonically_increasing_id()), "found")
+    first = stored(sets_.select("node", "row").join(nodes.select("node"), "node").groupBy("node").agg(F.min("row").alias("row")).select("row"), "first")
+    unique = sets_.join(first, "row", "left_semi").drop("row")
     cut = F.expr(f"transform(sequence(0, {COARSE - 1}), f -> struct(f as fragment, filter(hashes, h -> shiftrightunsigned(h, 32) * {COARSE} div 4294967296L = f) as hashes))")
     whole = stored(unique.select("node", F.size("hashes").cast("long").alias("n"), F.explode(cut).alias("s")).select("node", "n", "s.fragment", "s.hashes"), "fragments")
 
