@@ -19,7 +19,7 @@ from .sharding import shard
 from .toxicity import fit, toxicity
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     """Where a public tokenizer's file is, on the driver and the executors."""
     folder = os.environ.get("GLACIS_TOKENIZERS")
     if folder:
@@ -39,7 +39,7 @@ def op1_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = encode_decode(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    done = encode_decode(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
@@ -70,7 +70,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"))
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
