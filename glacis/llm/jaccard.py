@@ -9,8 +9,9 @@ counted in coarse fragments of the order separately and summed.
 Components are what the join is for, so a bucket of equal segments first compares its
 members with one hub, the member that shares most segments. Only where that leaves
 more than one component in a bucket are its other pairs compared too, those
-across components that the lengths and the distances to the hub (the Jaccard distance is
-a metric) do not rule out. No link between components is lost that way.
+across components that their lengths, their distances to the hub (the Jaccard distance is
+a metric) and the numbers of elements in which they alone differ from the hub do not rule out.
+No link between components is lost that way.
 """
 
 from __future__ import annotations
@@ -136,6 +137,36 @@ def _distances(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("common"))
 
 
+def _may_link(na: str, nb: str, ua: str, ub: str, sa: str, sb: str, percent: int) -> str:
+    """What two sets near one hub must meet to be linked. Of the elements in which a set differs from the hub, ``u`` are its own
+    and ``s`` are met in other sets too; two sets differ in u + u + |s - s| elements at least."""
+    return f"({ua} + {ub} + abs({sa} - {sb})) * (100 + {percent}) <= (100 - {percent}) * ({na} + {nb})"
+
+
+def _differences(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """(hub, node, own, met): how many elements in which a node differs from its hub no other node of the hub
+    differs in, and how many others do too."""
+    left = whole.select(F.col("node").alias("hub"), "fragment", F.col("hashes").alias("ha"))
+    right = whole.select("node", "fragment", F.col("hashes").alias("hb"))
+    cut = pairs.withColumn("fragment", F.explode(F.array(*[F.lit(i) for i in range(COARSE)])))
+    both = cut.join(left, ["hub", "fragment"]).join(right, ["node", "fragment"])
+    each = stored(both.select("hub", "node", F.explode(F.concat(F.array_except("ha", "hb"), F.array_except("hb", "ha"))).alias("element")), "elements")
+    alone = each.groupBy("hub", "element").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1")
+    own = stored(alone.groupBy("hub", "node").agg(F.count("*").alias("own")), "own")
+    total = stored(each.groupBy("hub", "node").agg(F.count("*").alias("all")), "total")
+    return total.join(own, ["hub", "node"], "left").select("hub", "node", F.coalesce("own", F.lit(0)).alias("own"), (F.col("all") - F.coalesce("own", F.lit(0))).alias("met"))
+
+
+def _feasible(rest: DataFrame, percent: int) -> DataFrame:
+    """The members of ``rest`` that may be linked with some other one of their hub: kinds (n, own, met) are compared, not members."""
+    kinds = stored(rest.groupBy("hub", "n", "own", "met").agg(F.min("component").alias("x"), F.max("component").alias("y")), "kinds")
+    a = kinds.select("hub", F.col("n").alias("na"), F.col("own").alias("ua"), F.col("met").alias("sa"), F.col("x").alias("xa"), F.col("y").alias("ya"))
+    b = kinds.select("hub", F.col("n").alias("nb"), F.col("own").alias("ub"), F.col("met").alias("sb"), F.col("x").alias("xb"), F.col("y").alias("yb"))
+    fine = a.join(b, "hub").where(F.expr(_may_link("na", "nb", "ua", "ub", "sa", "sb", percent)) & F.expr("not (xa = ya and xb = yb and xa = xb)"))
+    fine = stored(fine.select("hub", F.col("na").alias("n"), F.col("ua").alias("own"), F.col("sa").alias("met")).distinct(), "kinds")
+    return rest.join(fine, ["hub", "n", "own", "met"], "left_semi")
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id) for every row.
 
@@ -245,21 +276,21 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     # buckets that still hold more than one component
     placed = stored(members.join(groups, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")), "placed")
-    open_ = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    open_ = stored(hubs.join(open_, "key"), "open")
+    open_ = placed.join(hubs, "key").where("node <> hub").groupBy("key", "hub").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key", "hub")
+    open_ = stored(open_, "open")
     if open_.limit(1).count():
         dist = known.select("a", "b", "distance")
         dist = stored(dist.union(dist.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).select(F.col("a").alias("hub"), F.col("b").alias("node"), "distance"), "distances")
-        rest = placed.join(open_, "key").join(dist, ["hub", "node"], "left").withColumn("distance", F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("distance")))
-        rest = stored(rest, "rest")
+        rest = stored(placed.join(open_, "key").where("node <> hub").join(dist, ["hub", "node"]), "rest")
+        rest = stored(rest.join(stored(_differences(rest.select("hub", "node").distinct(), whole), "differences"), ["hub", "node"]), "rest")
+        rest = stored(_feasible(rest, percent), "rest")
         main = stored(rest.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component")).alias("m")).select("key", F.col("m.component").alias("main")), "main")
-        x = rest.join(main, "key").where("component <> main").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("distance").alias("da"), "hub")
+        x = rest.join(main, "key").where("component <> main").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("distance").alias("da"), F.col("own").alias("ua"), F.col("met").alias("sa"))
         x = stored(x, "strays")
-        y = rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("distance").alias("db"))
+        y = rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("distance").alias("db"), F.col("own").alias("ub"), F.col("met").alias("sb"))
         near = (100 - percent) / 100 + 1e-9
         more = x.join(y, "key").where(
-            (F.col("ca") != F.col("cb")) & (F.col("b") != F.col("hub")) & (F.col("a") != F.col("hub"))
-            & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.abs(F.col("da") - F.col("db")) <= near))
+            (F.col("ca") != F.col("cb")) & F.expr(_may_link("na", "nb", "ua", "ub", "sa", "sb", percent)) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.abs(F.col("da") - F.col("db")) <= near))
         more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         late = _distances(more, whole).where(test).select("a", "b")
         links = stored(links.union(late), "links")
