@@ -9,6 +9,8 @@ without quotes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,9 +86,14 @@ def conversations(messages: DataFrame, conversation: str = "conv_id", turn: str
     tour = stored(
         steps.select((F.col("uid") * 2).alias("at"), F.coalesce(F.col("child") * 2, F.col("uid") * 2 + 1).alias("next"), F.lit(1).cast("long").alias("entered"), F.lit(1).cast("long").alias("open"))
         .union(steps.select(F.col("uid") * 2 + 1, F.coalesce(F.col("brother") * 2, F.col("parent") * 2 + 1), F.lit(0).cast("long"), F.lit(-1).cast("long"))), "tour")
-    while tour.where("next is not null").limit(1).count():
-        ahead = tour.select(F.col("at").alias("next"), F.col("next").alias("far"), F.col("entered").alias("e"), F.col("open").alias("o"))
-        tour = stored(tour.join(ahead, "next", "left").select("at", F.col("far").alias("next"), (F.col("entered") + F.coalesce("e", F.lit(0))).alias("entered"), (F.col("open") + F.coalesce("o", F.lit(0))).alias("open")), "tour")
+    ended, going = [tour.where("next is null")], tour.where("next is not null")
+    while going.limit(1).count():  # only what has not reached the end goes on
+        every = reduce(DataFrame.union, [going, *ended])
+        ahead = every.select(F.col("at").alias("next"), F.col("next").alias("far"), F.col("entered").alias("e"), F.col("open").alias("o"))
+        tour = stored(going.join(ahead, "next").select("at", F.col("far").alias("next"), (F.col("entered") + F.col("e")).alias("entered"), (F.col("open") + F.col("o")).alias("open")), "tour")
+        ended.append(tour.where("next is null"))
+        going = tour.where("next is not null")
+    tour = reduce(DataFrame.union, ended)
     entered = tour.where("at % 2 = 0").select((F.col("at") / 2).cast("long").alias("uid"), "entered", (-F.col("open")).alias("depth"))
     sizes = stored(rows.groupBy("own").agg(F.count("*").alias("size")), "sizes")
     names = rows.select(F.col("uid").alias("parent"), F.col("turn").alias("parent_turn"))
