@@ -24,6 +24,8 @@ from .common import components, stored
 
 #: Deepest level (radius 2 / 2^LEVELS), and the slack that rounding of a distance needs.
 LEVELS, SLACK = 6, 1e-7
+#: What rounding of a product in single precision may add to a cosine.
+COARSE = 1e-5
 #: Vectors in a block; centres at most; vectors that the centres are picked from.
 BLOCK, CENTRES, SAMPLE = 2048, 256, 4096
 STRIP = 512
@@ -135,8 +137,9 @@ def traverse(a: Tree, b: Tree, cosine: float, same: bool):
         y, _ = _pairs_of_ranges(b.first[level][j], sb, np.zeros_like(sb), np.ones_like(sb))
         edges.append((np.repeat(ca, sb), y))
 
-    def sift(level, i, j, dot):
+    def sift(level, i, j):
         """Decide the pairs of nodes that can be decided; the rest is returned."""
+        dot = np.einsum("ij,ij->i", a.points[a.centre[level][i]], b.points[b.centre[level][j]])
         ra, rb = a.radius[level][i], b.radius[level][j]
         single = (a.size[level][i] == 1) & (b.size[level][j] == 1)
         d = np.sqrt(np.maximum(2 - 2 * dot, 0))
@@ -151,37 +154,68 @@ def traverse(a: Tree, b: Tree, cosine: float, same: bool):
         left = ~single & ~full & (d <= ra + rb + eps + SLACK)
         return i[left], j[left]
 
-    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    def sift_all(level, open_):
+        """The same for a matrix of open pairs (None: all), by one product of matrices in single precision, whose
+        rounding COARSE covers; what it can't tell is computed anew."""
+        ca, cb = a.points[a.centre[level]].astype(np.float32), b.points[b.centre[level]].astype(np.float32)
+        ra, rb = a.radius[level].astype(np.float32), b.radius[level].astype(np.float32)
+        one_a, one_b = a.size[level] == 1, b.size[level] == 1
+        out = np.zeros((len(ca), len(cb)), bool)
+        for s in range(0, len(ca), STRIP):
+            rows = slice(s, s + STRIP)
+            g = ca[rows] @ cb.T
+            reach = ra[rows, None] + (rb + np.float32(eps))[None]
+            near = g >= 1 - reach * reach / 2 - np.float32(COARSE)
+            if open_ is not None:
+                near &= open_[rows]
+            if same:
+                near &= np.arange(s, s + len(g))[:, None] <= np.arange(len(cb))[None]
+            single = one_a[rows, None] & one_b[None]
+            x, y = np.nonzero(near & single)
+            if len(x):
+                sift(level, s + x, y)
+            near &= ~single
+            inner = np.float32(eps) - (reach - np.float32(eps)) + np.float32(1e-3)
+            x, y = np.nonzero(near & (inner > 0) & (g >= 1 - inner * inner / 2 - np.float32(COARSE)))
+            if len(x):  # perhaps whole: told apart in double precision
+                i, j = sift(level, s + x, y)
+                near[x, y] = False
+                near[i - s, j] = True
+            out[rows] = near
+        return out
+
+    i, j, matrix = np.zeros(1, np.int64), np.zeros(1, np.int64), None
     for level in range(LEVELS + 1):
-        if not len(i):
+        if matrix is not None:
+            if not matrix.any():
+                matrix = None
+                i = j = np.zeros(0, np.int64)
+                break
+            matrix = sift_all(level, matrix)
+            if matrix.sum() <= 0.005 * matrix.size:
+                i, j = np.nonzero(matrix)
+                matrix = None
+        else:
+            if not len(i):
+                break
+            got = [sift(level, i[c:c + 200_000], j[c:c + 200_000]) for c in range(0, len(i), 200_000)]
+            i, j = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        if level == LEVELS:
             break
-        ca, cb = a.points[a.centre[level]], b.points[b.centre[level]]
-        kept = []
-        if len(i) > 0.01 * len(ca) * len(cb) or len(i) > 2_000_000:
-            # most pairs of the level are open: strips of the whole product, nodes of like radius together
-            oa, ob = np.argsort(-a.radius[level], kind="stable"), np.argsort(-b.radius[level], kind="stable")
-            fa, fb = ca[oa].astype(np.float32), cb[ob].astype(np.float32)
-            open_ = np.zeros((len(ca), len(cb)), bool)  # pairs decided on a higher level are closed
-            open_[i, j] = True
-            for s in range(0, len(oa), STRIP):
-                for t in range(0, len(ob), STRIP):
-                    reach = a.radius[level][oa[s]] + b.radius[level][ob[t]] + eps + SLACK
-                    x, y = np.nonzero(fa[s:s + STRIP] @ fb[t:t + STRIP].T >= 1 - reach * reach / 2 - 1e-5)
-                    x, y = oa[s + x], ob[t + y]
-                    x, y = x[open_[x, y]], y[open_[x, y]]
-                    for c in range(0, len(x), 200_000):
-                        p, q = x[c:c + 200_000], y[c:c + 200_000]
-                        kept.append(sift(level, p, q, np.einsum("ij,ij->i", ca[p], cb[q])))
+        from_a, from_b = a.child[level], b.child[level]
+        na, nb = np.diff(from_a), np.diff(from_b)
+        if matrix is None and (na[i] * nb[j]).sum() > 0.005 * na.sum() * nb.sum() and na.sum() * nb.sum() > 4096:
+            # many pairs of the next level are open: as a matrix, and one product for all
+            matrix = np.zeros((len(na), len(nb)), bool)
+            matrix[i, j] = True
+        if matrix is not None:
+            matrix = np.repeat(np.repeat(matrix, na, axis=0), nb, axis=1)
         else:
-            for c in range(0, len(i), 200_000):
-                p, q = i[c:c + 200_000], j[c:c + 200_000]
-                kept.append(sift(level, p, q, np.einsum("ij,ij->i", ca[p], cb[q])))
-        i, j = (np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])) if kept else (i[:0], j[:0])
-        if level < LEVELS and len(i):
-            from_a, from_b = a.child[level], b.child[level]
-            i, j = _pairs_of_ranges(from_a[i], from_a[i + 1] - from_a[i], from_b[j], from_b[j + 1] - from_b[j])
+            i, j = _pairs_of_ranges(from_a[i], na[i], from_b[j], nb[j])
             if same:
                 i, j = i[i <= j], j[i <= j]
+    if matrix is not None:
+        i, j = np.nonzero(matrix)
     for c in range(len(i)):  # pairs of deepest nodes about the threshold: member by member
         ra = slice(a.first[LEVELS][i[c]], a.first[LEVELS][i[c]] + a.size[LEVELS][i[c]])
         rb = slice(b.first[LEVELS][j[c]], b.first[LEVELS][j[c]] + b.size[LEVELS][j[c]])
