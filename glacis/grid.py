@@ -85,6 +85,18 @@ def to_array(cells: DataFrame, grid: Grid, value: str = "z"):
     return out
 
 
+def in_task(spark: SparkSession, run):
+    """The result of ``run()``, worked out by one executor task: dense algebra stays off the driver, on one thread."""
+    import pandas as pd
+    from pyspark import cloudpickle
+
+    def task(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"out": [cloudpickle.dumps(run())] * len(pdf)})
+
+    return cloudpickle.loads(bytes(spark.range(1).coalesce(1).mapInPandas(task, "out binary").first()[0]))
+
+
 def same_crs(a: str | None, b: str | None) -> None:
     """Raises where both reference systems are known and differ."""
     if a and b and " ".join(a.upper().split()) != " ".join(b.upper().split()):

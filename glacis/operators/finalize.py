@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import cosine_taper
-from ..grid import Grid
+from ..grid import Grid, in_task
 from .mask import margin_distance
 from .terrain import gaussian, slopes
 
@@ -53,7 +53,7 @@ def blend_points(points: DataFrame, cells: DataFrame, grid: Grid, width: float |
     got = points.select("x", "y", "depth").na.drop().orderBy("x", "y", "depth").limit(most + 1).toPandas()
     if len(got) > most:
         raise ValueError(f"a dense spline takes {most} points at most")
-    p, w, mid, scale = thin_plate(got["x"].to_numpy(), got["y"].to_numpy(), got["depth"].to_numpy())
+    p, w, mid, scale = in_task(cells.sparkSession, lambda: thin_plate(got["x"].to_numpy(), got["y"].to_numpy(), got["depth"].to_numpy()))
     at = cells.select("r", "c", grid.x(F.col("c")).alias("x"), grid.y(F.col("r")).alias("y"))
 
     def run(batches):

@@ -1,4 +1,4 @@
-"""Kriging: one small dense system on the driver, estimates for all cells on the executors.
+"""Kriging: one small dense system in a task, estimates for all cells on the executors.
 
 The estimate is a sum over samples with dual weights, so that cells need no system of their own. The
 variance takes the inverse matrix and is only computed when asked for.
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ice_drift
-from ..grid import Grid
+from ..grid import Grid, in_task
 from .mask import zero_points
 from .sampling import bilinear
 from .terrain import slopes
@@ -171,12 +171,12 @@ def krige(points: DataFrame, cells: DataFrame, grid: Grid, method: str = "univer
         spark = cells.sparkSession
         spots = spark.createDataFrame(got.reset_index(names="pid")[["pid", "x", "y"]])
         at = bilinear(spots, u, grid, ["u"]).toPandas().set_index("pid")["u"].reindex(range(len(got))).fillna(0.0).to_numpy(float)
-        system = solve(x, y, v, "constant", at, model, origin, parameters)
+        system = in_task(spark, lambda: solve(x, y, v, "constant", at, model, origin, parameters))
         return predict(u, grid, system, external="u", **common)
     drift = "constant"
     if kind == "universal" and len(got) >= 4:
         drift = "linear" if "regional_linear" in terms and "quadratic" not in terms else "quadratic"
-    return predict(cells, grid, solve(x, y, v, drift, None, model, origin, parameters), **common)
+    return predict(cells, grid, in_task(cells.sparkSession, lambda: solve(x, y, v, drift, None, model, origin, parameters)), **common)
 
 
 def _regression(got: pd.DataFrame, cells: DataFrame, grid: Grid, model: str, origin, common: dict, parameters) -> DataFrame:
@@ -192,7 +192,7 @@ def _regression(got: pd.DataFrame, cells: DataFrame, grid: Grid, model: str, ori
     features = VectorAssembler(inputCols=["x", "y", "z"], outputCol="features")
     forest = RandomForestRegressor(labelCol="val", numTrees=100, maxDepth=15, featureSubsetStrategy="all", seed=42).fit(features.transform(spots))
     fitted = forest.transform(features.transform(spots)).select("x", "y", (F.col("val") - F.col("prediction")).alias("left")).orderBy("x", "y", "left").toPandas()
-    system = solve(fitted["x"], fitted["y"], fitted["left"], "constant", None, model, origin, parameters)
+    system = in_task(spark, lambda: solve(fitted["x"], fitted["y"], fitted["left"], "constant", None, model, origin, parameters))
     rest = predict(cells, grid, system, common["centers"], False)
     place = (grid.x, grid.y) if common["centers"] else (grid.edge_x, grid.edge_y)
     at = cells.select("r", "c", place[0](F.col("c")).alias("x"), place[1](F.col("r")).alias("y"), F.coalesce("z", F.lit(mean)).alias("z"))
