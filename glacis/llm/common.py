@@ -36,7 +36,16 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     path = f"{shared_dir(spark)}/glacis-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, and let Spark drop the shuffle files of finished jobs."""
+    for t in tables:
+        _drop(t.sparkSession, t.stored_at)
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def text_column(df: DataFrame, column: str):
@@ -74,7 +83,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: the smaller neighbours, and the node itself, go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = stored(small.where("u <> v").distinct(), "links")
+        before, edges = edges, stored(small.where("u <> v").distinct(), "links")
+        discard(before)
         now = state(edges)
         if now == seen:
             break

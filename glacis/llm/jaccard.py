@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .bpe import blocks
-from .common import components, stored, text_column
+from .common import components, discard, stored, text_column
 from .shingles import ROUND, identity, mix, sets
 
 BLOCK_CHARS = 2_000_000
@@ -154,17 +154,19 @@ def _differences(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     alone = each.groupBy("hub", "element").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1")
     own = stored(alone.groupBy("hub", "node").agg(F.count("*").alias("own")), "own")
     total = stored(each.groupBy("hub", "node").agg(F.count("*").alias("all")), "total")
+    discard(each)
     return total.join(own, ["hub", "node"], "left").select("hub", "node", F.coalesce("own", F.lit(0)).alias("own"), (F.col("all") - F.coalesce("own", F.lit(0))).alias("met"))
 
 
-def _feasible(rest: DataFrame, percent: int) -> DataFrame:
-    """The members of ``rest`` that may be linked with some other one of their hub: kinds (n, own, met) are compared, not members."""
-    kinds = stored(rest.groupBy("hub", "n", "own", "met").agg(F.min("component").alias("x"), F.max("component").alias("y")), "kinds")
-    a = kinds.select("hub", F.col("n").alias("na"), F.col("own").alias("ua"), F.col("met").alias("sa"), F.col("x").alias("xa"), F.col("y").alias("ya"))
-    b = kinds.select("hub", F.col("n").alias("nb"), F.col("own").alias("ub"), F.col("met").alias("sb"), F.col("x").alias("xb"), F.col("y").alias("yb"))
-    fine = a.join(b, "hub").where(F.expr(_may_link("na", "nb", "ua", "ub", "sa", "sb", percent)) & F.expr("not (xa = ya and xb = yb and xa = xb)"))
-    fine = stored(fine.select("hub", F.col("na").alias("n"), F.col("ua").alias("own"), F.col("sa").alias("met")).distinct(), "kinds")
-    return rest.join(fine, ["hub", "n", "own", "met"], "left_semi")
+def _feasible(rest: DataFrame, by: list[str], condition: str) -> DataFrame:
+    """The members of ``rest`` that ``condition`` lets be linked with some other one of their hub. Kinds, (n, *by), are compared, not
+    members; kinds of one component need no comparing."""
+    kinds = stored(rest.groupBy("hub", "n", *by).agg(F.min("component").alias("x"), F.max("component").alias("y")), "kinds")
+    a = kinds.select("hub", *[F.col(c).alias(f"{c}a") for c in ("n", *by, "x", "y")])
+    b = kinds.select("hub", *[F.col(c).alias(f"{c}b") for c in ("n", *by, "x", "y")])
+    fine = a.join(b, "hub").where(F.expr(condition) & F.expr("not (xa = ya and xb = yb and xa = xb)"))
+    fine = stored(fine.select("hub", *[F.col(f"{c}a").alias(c) for c in ("n", *by)]).distinct(), "kinds")
+    return rest.join(fine, ["hub", "n", *by], "left_semi")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -241,7 +243,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     taken = stored(source.select("text").mapInArrow(take, "key long, node long, n long").distinct(), "candidates")
     members = stored(taken.join(several, "key"), "members")
     nodes = stored(members.groupBy("node", "n").agg(F.count("*").alias("shared")), "nodes")
-    members = stored(members.drop("n").join(nodes, "node"), "members")
+    plain, members = members, stored(members.drop("n").join(nodes, "node"), "members")
+    discard(taken, several, plain)
     wanted = spark.sparkContext.broadcast(_filter(nodes.select(F.col("node").alias("key"))))
 
     def fetch(batches):
@@ -259,6 +262,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     unique = sets_.join(first, "row", "left_semi").drop("row")
     cut = F.expr(f"transform(sequence(0, {COARSE - 1}), f -> struct(f as fragment, filter(hashes, h -> shiftrightunsigned(h, 32) * {COARSE} div 4294967296L = f) as hashes))")
     whole = stored(unique.select("node", F.size("hashes").cast("long").alias("n"), F.explode(cut).alias("s")).select("node", "n", "s.fragment", "s.hashes"), "fragments")
+    discard(sets_)
 
     hubs = (members.groupBy("key").agg(F.max(F.struct(F.col("shared") / F.col("n"), F.col("node"))).alias("m"), F.count("*").alias("size"))
             .where("size > 1").select("key", F.col("m.node").alias("hub")))
@@ -281,16 +285,20 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     if open_.limit(1).count():
         dist = known.select("a", "b", "distance")
         dist = stored(dist.union(dist.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).select(F.col("a").alias("hub"), F.col("b").alias("node"), "distance"), "distances")
-        rest = stored(placed.join(open_, "key").where("node <> hub").join(dist, ["hub", "node"]), "rest")
-        rest = stored(rest.join(stored(_differences(rest.select("hub", "node").distinct(), whole), "differences"), ["hub", "node"]), "rest")
-        rest = stored(_feasible(rest, percent), "rest")
-        main = stored(rest.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component")).alias("m")).select("key", F.col("m.component").alias("main")), "main")
-        x = rest.join(main, "key").where("component <> main").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("distance").alias("da"), F.col("own").alias("ua"), F.col("met").alias("sa"))
+        # from here on by hub: sets that share no segment can't be linked, but one row a hub and set is less than one a segment
+        rest = placed.join(open_, "key").where("node <> hub").select("hub", "node", "n", "component").distinct().join(dist, ["hub", "node"])
+        rest = stored(rest.withColumn("step", F.floor(F.col("distance") * 100).cast("int")), "rest")
+        alike = f"least(na, nb) * 100 >= greatest(na, nb) * {percent} and abs(ka - kb) <= {100 - percent} + 1"
+        near_ = stored(_feasible(rest, ["step"], alike.replace("ka", "stepa").replace("kb", "stepb")), "rest")
+        rest = stored(near_.join(stored(_differences(near_.select("hub", "node"), whole), "differences"), ["hub", "node"]), "rest")
+        differ = f"least(na, nb) * 100 >= greatest(na, nb) * {percent} and {_may_link('na', 'nb', 'owna', 'ownb', 'meta', 'metb', percent)}"
+        rest = stored(_feasible(rest, ["own", "met"], differ), "rest")
+        main = stored(rest.groupBy("hub", "component").count().groupBy("hub").agg(F.max(F.struct("count", "component")).alias("m")).select("hub", F.col("m.component").alias("main")), "main")
+        x = rest.join(main, "hub").where("component <> main").select("hub", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("distance").alias("da"), F.col("own").alias("owna"), F.col("met").alias("meta"))
         x = stored(x, "strays")
-        y = rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("distance").alias("db"), F.col("own").alias("ub"), F.col("met").alias("sb"))
+        y = rest.select("hub", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("distance").alias("db"), F.col("own").alias("ownb"), F.col("met").alias("metb"))
         near = (100 - percent) / 100 + 1e-9
-        more = x.join(y, "key").where(
-            (F.col("ca") != F.col("cb")) & F.expr(_may_link("na", "nb", "ua", "ub", "sa", "sb", percent)) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.abs(F.col("da") - F.col("db")) <= near))
+        more = x.join(y, "hub").where((F.col("ca") != F.col("cb")) & F.expr(differ) & (F.abs(F.col("da") - F.col("db")) <= near))
         more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         late = _distances(more, whole).where(test).select("a", "b")
         links = stored(links.union(late), "links")
