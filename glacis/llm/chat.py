@@ -55,7 +55,7 @@ def conversations(messages: DataFrame, conversation: str = "conv_id", turn: str
     table = stored(table.withColumn("uid", F.monotonically_increasing_id()).withColumn("own", F.coalesce(F.col("conv").cast("string"), F.concat(F.lit("\0"), F.col("uid").cast("string")))), "messages")
     runs = stored(passages(table.where(F.col("text").rlike(r"(?m)^\s*>")).select("uid", "text")), "passages")
     said = runs.where("level = 0").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("seq", "body"))).alias("b"))
-    said = said.select("uid", F.trim(F.expr("array_join(transform(b, x -> x.body), '\n')")).alias("own_text"), F.lit(True).alias("quoting"))
+    said = said.select("uid", F.regexp_replace(F.expr("array_join(transform(b, x -> x.body), '\n')"), r"^\s+|\s+$", "").alias("own_text"), F.lit(True).alias("quoting"))
     quoting = table.where(F.col("text").rlike(r"(?m)^\s*>")).select("uid")
     own = table.join(said, "uid", "left").join(quoting.withColumn("q", F.lit(True)), "uid", "left")
     own = stored(own.select("uid", "own", "conv", "turn", "role", F.expr("if(q, coalesce(own_text, ''), text)").alias("content")), "contents")

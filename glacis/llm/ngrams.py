@@ -57,6 +57,8 @@ def grams(buf: np.ndarray, sizes: range, bits: int):
         if size >= sizes.start:
             # no space inside, and not a lone border
             fine = after[:m] >= at[:m] + size - 1
+            if size == 2:
+                fine &= ~(space[:m] & space[1:])
             yield size, ((packed * MIX) >> np.uint64(64 - bits)).astype(np.int32), fine
 
 

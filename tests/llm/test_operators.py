@@ -58,8 +58,8 @@ def test_cover_tree(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(60, 8))
     rows = [v for v in base] + [base[i % 5] + 0.12 * rng.normal(size=8) for i in range(120)]
-    rows = [(i, list(map(float, v))) for i, v in enumerate(rows)] + [(900, None), (901, [0.0] * 8), (902, [float("nan")] * 8), (903, [1.0]), (904, []), (905, [1e300] * 8)]
-    got = near_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas().set_index("vec_id")
+    rows = [(i, list(map(float, v))) for i, v in enumerate(rows)] + [(900, None), (901, [0.0] * 8), (902, [float("nan")] * 8), (903, [1.0]), (904, []), (905, [-1e300, 1e300] * 4)]
+    got = near_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas().set_index("vec_id").sort_index()
     v = np.array([r[1] for r in rows[:180]])
     v /= np.linalg.norm(v, axis=1)[:, None]
     link = v @ v.T >= 0.9
