@@ -79,7 +79,7 @@ def conversations(messages: DataFrame, conversation: str = "conv_id", turn: str
     rows = rows.withColumn("parent", F.coalesce("parent", F.lag("uid").over(order))).withColumn("place", F.row_number().over(order))
     rows = stored(rows, "rows")
     # reply order: an Euler tour enters and leaves each message once; its sums to the end are found by doubling
-    brothers = Window.partitionBy("parent").orderBy("place")
+    brothers = Window.partitionBy(F.coalesce("parent", -F.col("uid") - 1)).orderBy("place")  # first messages have no brothers
     tree = stored(rows.select("uid", "own", "parent", F.when(F.col("parent").isNotNull(), F.lead("uid").over(brothers)).alias("brother")), "tree")
     eldest = stored(rows.where("parent is not null").groupBy("parent").agg(F.min(F.struct("place", "uid")).alias("m")).select(F.col("parent").alias("uid"), F.col("m.uid").alias("child")), "eldest")
     steps = tree.join(eldest, "uid", "left")
