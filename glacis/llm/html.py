@@ -3,7 +3,8 @@
 Markup is stripped into lines, one for each block of the page; a line weighs the
 characters that are not links, menus, notices or other furniture. Weights summed over sliding
 windows of lines give the block distribution: the text starts where it surges
-and ends where it dives to zero.
+and ends where it dives to zero. An article or main element whose own text surges
+has its lines raised; no line is ever lowered for lying outside.
 """
 
 from __future__ import annotations
@@ -52,32 +53,33 @@ def _furniture(name: str, attributes: str, inside_main: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, whether in the article element) of each block of the page, in its order."""
-    out: list[tuple[str, int, bool]] = []
+def lines(page: str) -> list[tuple[str, int, int]]:
+    """(text, weight, number of the outermost article or main element, 0 outside) of each block of the page, in its order."""
+    out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     weight, stack = 0, []  # open elements: (name, furniture)
     dropped = mains = links = 0
-    here_main = False
+    units = unit = 0
 
     def text(raw: str):
-        nonlocal weight, here_main
+        nonlocal weight, unit
         if dropped or not raw:
             return
         got = html.unescape(raw) if "&" in raw else raw
         parts.append(got)
-        here_main = here_main or mains > 0
+        if mains:
+            unit = units
         if not links:
             weight += len("".join(got.split()))
 
     def flush():
-        nonlocal weight, here_main
+        nonlocal weight, unit
         if parts:
             line = " ".join("".join(parts).split())
             if line:
-                out.append((line, weight, here_main))
+                out.append((line, weight, unit))
             parts.clear()
-        weight, here_main = 0, False
+        weight = unit = 0
 
     def leave(count: int):
         nonlocal dropped, mains, links
@@ -124,6 +126,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             furniture = _furniture(name, attributes, mains > 0)
             stack.append((name, furniture))
             dropped += furniture
+            units += name in MAIN and not mains
             mains += name in MAIN
             links += name == "a"
         elif name == "hr":
@@ -133,29 +136,46 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
 
 
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The text between surge and dive points, blocks joined by one space."""
+    """The text between surge and dive points, blocks joined by one space.
+
+    Windows run over the lines outside articles as one sequence and over those of each article as
+    another, so that neither lifts the other. An article that surges by its own text has each of its
+    lines raised to a surge: it then starts with its first line and does not dive before its last.
+    """
+    units: dict[int, list[int]] = {}
     got = lines(page)
-    marked = any(inside and weight for _, weight, inside in got)
-    if marked:  # the page says where its article is: lines elsewhere weigh nothing, those in it something
-        got = [(text, max(weight, 1) if inside else 0, inside) for text, weight, inside in got]
-    weights = [w for _, w, _ in got]
-    n = len(weights)
-    if not n:
+    for i, (_, _, unit) in enumerate(got):
+        units.setdefault(unit, []).append(i)
+
+    def windows(weights: list[int]) -> list[int]:
+        return [sum(weights[i:i + window]) for i in range(len(weights))]
+
+    weights = {unit: [got[i][1] for i in at] for unit, at in units.items()}
+    sums = {unit: windows(w) for unit, w in weights.items()}
+    most = max(map(max, sums.values()), default=0)
+    if not most:
         return ""
-    sums = [sum(weights[i:i + window]) for i in range(n)]
-    level = 1 if marked else min(surge, max(sums) * 0.3)
-    kept, i = [], 0
-    while i < n:
-        if sums[i] > 0 and sums[i] >= level:  # a surge
-            j = i
-            while j < n and sums[j] > 0:
-                j += 1
-            # the dive: the first window without any text
-            kept += [text for text, weight, _ in got[i:j] if weight > 0]
-            i = j
-        else:
-            i += 1
-    return " ".join(kept)
+    level = min(surge, most * 0.3)
+    kept: list[int] = []
+    for unit, at in units.items():
+        w, s = weights[unit], sums[unit]
+        if unit and max(s) >= level:
+            w = [max(x, surge) for x in w]
+            s = windows(w)
+        n, i = len(at), 0
+        while i < n:
+            if s[i] > 0 and s[i] >= level:  # a surge
+                j = i
+                while j < n and s[j] > 0:
+                    j += 1
+                # the dive: the first window without any text; the surge: the first line with text
+                while not w[i]:
+                    i += 1
+                kept += at[i:j]
+                i = j
+            else:
+                i += 1
+    return " ".join(got[i][0] for i in sorted(kept))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -92,6 +92,25 @@ def test_html():
     assert main_text(f"<div><a href=x>menu</a></div><p>{long}</p><p>{long}</p>") == f"{long}{long}".strip()
 
 
+def test_html_distribution():
+    story = [f"Paragraph {i} of the story, which is told in plain blocks and goes on for a while." for i in range(6)]
+    told = " ".join(story)
+    plain = "".join(f"<p>{s}</p>" for s in story)
+    card = "<article class=teaser><h3><a href=/x>Read on</a></h3><p>By Ann.</p></article>"
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(5)) + "</ul>"
+    for page in (f"<div>{plain}</div>{card}", f"{card}<div>{plain}</div>", f"<div>{plain[:200]}{plain[200:]}</div>{card}{card}", f"<div>{plain}</div>"):
+        assert main_text(f"<body>{page}</body>") == told
+    half = "".join(f"<p>{s}</p>" for s in story[:3]) + card + "".join(f"<p>{s}</p>" for s in story[3:])
+    assert main_text(half) == told  # a card amid the story doesn't cut it
+    assert main_text(f"<p>Short.</p>{links}{plain}{links}<p>Short.</p>") == told  # the distribution decides
+    assert main_text(f"<p>{story[0]}</p><p><a href=/>See also</a></p><p>{story[1]}</p>") == f"{story[0]} See also {story[1]}"
+    body = f"<h1>T</h1><p>By A.</p><p>x</p>{plain}{links}<p>End.</p>"
+    want = f"T By A. x {told} Link 0 Link 1 Link 2 Link 3 Link 4 End."
+    assert main_text(f"<p>Short.</p><article>{body}</article><p>Short.</p>") == want
+    long = "A long passage outside of the article is text of the page as well, it has more letters than a surge needs to have."
+    assert main_text(f"<article>{body}</article><div>{long}</div>") == f"{want} {long}"
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article>x</article>"), (2, None, None), (None, "v", "")], "page_id long, url string, html string")
     got = {(r["page_id"], r["url"]): (r["text"], r["n_chars"]) for r in extract(pages).collect()}
