@@ -39,38 +39,79 @@ social sponsor sponsored subscribe subscription tagcloud toolbar topbar widget w
 MAIN = frozenset(["article", "main"])
 
 
-def _furniture(name: str, attributes: str, inside_main: bool) -> bool:
+#: Words beside those in a class or id that is furniture as a whole, and such as name the story itself
+BESIDE = frozenset("""area bar body block bottom box btn button buttons center col column container content css global group icon icons inner item items js left link links list
+lower main mobile module outer panel primary right row secondary section site slot small sticky sub text title top unit upper wrap wrapper x""".split())
+STORY = frozenset("article articles blog entry page pages post posts story stories".split())
+#: Furniture whose text is not the story, however long it is
+OTHERS = frozenset("""nav footer aside header menu comment comments disqus discussion reply replies respond cookie cookies consent copyright gdpr newsletter notice notices
+subscribe subscription sponsor sponsored advertisement ads ad adsense navigation complementary contentinfo banner""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NONE, LASTING, OTHER, PLAIN = range(4)
+#: Unlinked characters that are much, if they are half of the page's too
+MUCH = 300
+
+
+def _named(value: str, inside_main: bool) -> set[str]:
+    """The words that name furniture in a class, id or role: of its tokens that consist of these and their like."""
+    out: set[str] = set()
+    for token in value.split():
+        words = set(re.findall(r"[a-z]+", token))
+        named = words & WORDS
+        if inside_main or words & STORY:
+            named -= {"header"}  # a story has a header of its own
+        if named and words <= WORDS | BESIDE | STORY:
+            out |= named
+    return out
+
+
+def _furniture(name: str, attributes: str, inside_main: bool, inside_story: bool) -> int:
+    """Whether an element is furniture by its name or attributes: NONE; LASTING, whatever it holds; OTHER or PLAIN."""
+    kind = NONE
     if name in FURNITURE or name == "header" and not inside_main:
-        return True
+        kind = LASTING if name in ("head", "select", "button", "datalist") else OTHER if name in OTHERS else PLAIN
     if not attributes or name in ("html", "body", "article", "main", "h1"):
-        return False
-    for kind, value in ATTRIBUTE.findall(attributes):
-        kind, value = kind.lower(), value.strip("\"'").lower()
-        if kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if kind in ("class", "id", "role") and not WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return not (inside_main and value == "header")
-    return False
+        return kind
+    for key, value in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), html.unescape(value.strip("\"'")).lower()
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            return LASTING
+        if key == "id" and (name in HEADINGS or name == "section" and inside_story):
+            continue  # an anchor made of the heading's words
+        if key in ("class", "id", "role") and kind != OTHER and (named := _named(value, inside_main)):
+            kind = PLAIN if named.isdisjoint(OTHERS) else OTHER
+    return kind
+
 
+def lines(page: str, spared: frozenset[int] = frozenset()) -> list[tuple[str, int, int]]:
+    """(text, weight, number of the outermost article or main element, 0 outside) of each block of the page, in its order.
 
-def lines(page: str) -> list[tuple[str, int, int]]:
-    """(text, weight, number of the outermost article or main element, 0 outside) of each block of the page, in its order."""
+    Furniture is left out, but not an element that holds a main element; nor one that holds half of the page's
+    unlinked text, if that is much or in an article. Furniture whose text is not the story however long it
+    is (comments, notices, navigation) is only spared for a page's articles, if all are in it. Such
+    elements are known when they end: the page is then read again with their places in ``spared``.
+    """
     out: list[tuple[str, int, int]] = []
     parts: list[str] = []
-    weight, stack = 0, []  # open elements: (name, furniture)
-    dropped = mains = links = 0
+    weight, stack = 0, []  # open elements: (name, furniture, place, and as they began: letters, articles, mains)
+    dropped = mains = stories = links = lasting = 0
     units = unit = 0
+    letters = all_stories = all_mains = 0  # of the page so far, furniture included
+    held: list[tuple[int, int, int, int, int]] = []  # furniture that ended: (kind, place, letters, articles, mains in it)
 
     def text(raw: str):
-        nonlocal weight, unit
-        if dropped or not raw:
+        nonlocal weight, unit, letters
+        if lasting or not raw:
             return
         got = html.unescape(raw) if "&" in raw else raw
+        n = 0 if links else len("".join(got.split()))
+        letters += n
+        if dropped:
+            return
         parts.append(got)
         if mains:
             unit = units
-        if not links:
-            weight += len("".join(got.split()))
+        weight += n
 
     def flush():
         nonlocal weight, unit
@@ -82,11 +123,15 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         weight = unit = 0
 
     def leave(count: int):
-        nonlocal dropped, mains, links
-        for name, furniture in stack[count:]:
-            dropped -= furniture
+        nonlocal dropped, mains, stories, links, lasting
+        for name, furniture, place, *then in stack[count:]:
+            dropped -= furniture > NONE
+            lasting -= furniture == LASTING
             mains -= name in MAIN
+            stories -= name == "article"
             links -= name == "a"
+            if furniture > LASTING:
+                held.append((furniture, place, letters - then[0], all_stories - then[1], all_mains - then[2]))
         del stack[count:]
 
     def close(name: str, stop=()):
@@ -123,16 +168,34 @@ def lines(page: str) -> list[tuple[str, int, int]]:
                 close("p", INLINE | {"p"})
                 if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
                     close(name, INLINE | {name})
-            furniture = _furniture(name, attributes, mains > 0)
-            stack.append((name, furniture))
-            dropped += furniture
+            furniture = _furniture(name, attributes, mains > 0, stories > 0 or mains > 0 and not all_stories)
+            if m.start() in spared:
+                furniture = NONE
+            stack.append((name, furniture, m.start(), letters, all_stories, all_mains))
+            dropped += furniture > NONE
+            lasting += furniture == LASTING
             units += name in MAIN and not mains
             mains += name in MAIN
+            stories += name == "article"
+            if not lasting:
+                all_stories += name == "article"
+                all_mains += name == "main"
             links += name == "a"
         elif name == "hr":
             pass
     flush()
-    return out
+    leave(0)
+    if spared:
+        return out
+
+    def spare(kind: int, n: int, articles: int, main: int) -> bool:
+        if main:
+            return True
+        half = n > 0 and 2 * n >= letters
+        return half and articles == all_stories > 0 if kind == OTHER else half and (n >= MUCH or articles > 0)
+
+    again = frozenset(place for kind, place, *rest in held if spare(kind, *rest))
+    return lines(page, again) if again else out
 
 
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:

@@ -111,6 +111,25 @@ def test_html_distribution():
     assert main_text(f"<article>{body}</article><div>{long}</div>") == f"{want} {long}"
 
 
+def test_html_furniture():
+    story = "".join(f"<p>Paragraph {i} of the story, which goes on for quite a while and then ends.</p>" for i in range(8))
+    told = main_text(story)
+    assert told.count("Paragraph") == 8
+    for name in ("layout has-sidebar", "no-comments", "with-banner", "sidebar", "page widget", "left-sidebar", "search-results"):
+        for inner in (f"<article>{story}</article>", f"<main>{story}</main>", story):
+            for wrapper in (f'class="{name}"', f"id='{name}'"):
+                assert main_text(f"<body><nav><a href=/>Home</a></nav><div {wrapper}>{inner}</div></body>") == told, (name, inner[:9], wrapper)
+    assert main_text(f"<form id=f>{story}</form>") == main_text(f'<div class="comments"><article>{story}</article></div>') == told
+    for part in ("<section id=discussion>{}</section>", "<h2 id=search-algorithms>{}</h2>", "<h2 id=related-work>{}</h2>", "<div class=post-header>{}</div>", "<h3 id=comments>{}</h3>"):
+        assert main_text(f"<article>{story}{part.format('A part.')}</article>") == f"{told} A part.", part
+    for part in ("<div class=ad>{}</div>", "<div id=comments>{}</div>", '<div class="b cookie-bar">{}</div>', "<div class=widget-area>{}</div>", "<ul class=related-posts><li>{}</ul>",
+                 "<aside><article>{}</article></aside>", "<div class=related><article>{}</article></div>", "<div role=navigation>{}</div>", "<p hidden>{}</p>", "<footer>{}</footer>", "<div class=site-header>{}</div>"):
+        for place in (f"{part.format('Left out. ' * 12)}<article>{story}</article>", f"<article>{story}</article>{part.format('Left out. ' * 12)}"):
+            assert main_text(place) == told, part
+    comments = "<ol class=comment-list>" + f"<li class=comment><article>{story}</article>" * 3 + "</ol>"
+    assert main_text(f"<article>{story}</article>{comments}") == told
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article>x</article>"), (2, None, None), (None, "v", "")], "page_id long, url string, html string")
     got = {(r["page_id"], r["url"]): (r["text"], r["n_chars"]) for r in extract(pages).collect()}
