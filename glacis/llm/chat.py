@@ -2,7 +2,8 @@
 
 Messages are cut into lines with their quote level ('>' marks before the text). Runs of quoted lines
 of one level are passages; a passage, normalised and hashed, is joined to the earlier message
-of its conversation whose own text, or a paragraph of it, has that hash. What a
+of its conversation whose own text, or a paragraph or line of it or a run of neighbouring ones, has that
+hash. A passage that is no such part as a whole is joined by its own paragraphs and lines. What a
 message quotes first is what it replies to. Conversations are then written in reply order
 without quotes.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, text_column
@@ -21,9 +22,26 @@ MARKS = r"^\\s*((?:>[ \\t]?)+)"
 ATTRIBUTION = r"(?i)^(on\\b.*\\bwrote|am\\b.*\\bschrieb.*|le\\b.*\\ba écrit|el\\b.*\\bescribió)\\s*:\\s*$"
 
 
-def _normal(column: str) -> str:
+def _normal(column: Column | str) -> Column:
     """Letters and digits only count, whatever their case; runs of others are one space."""
-    return f"trim(regexp_replace(lower({column}), '[^\\\\p{{L}}\\\\p{{N}}]+', ' '))"
+    return F.trim(F.regexp_replace(F.lower(column), r"[^\p{L}\p{N}]+", " "))
+
+
+def _cut(texts: DataFrame, column: str) -> DataFrame:
+    """With ``whole``, the text normalised, and its paragraphs ``ps`` and lines ``ls`` with some letter or digit, and their hashes ``ph`` and ``lh``."""
+    def full(by: str) -> Column:
+        return F.filter(F.transform(F.split("bare", by), _normal), lambda x: x != "")
+
+    bare = F.array_join(F.split(column, r"\r\n|\n|\r"), "\n")
+    out = texts.withColumn("bare", bare).withColumns({"whole": _normal("bare"), "ps": full(r"\n\s*\n"), "ls": full(r"\n")}).drop("bare")
+    return out.withColumns({"ph": F.transform("ps", lambda x: F.xxhash64(x)), "lh": F.transform("ls", lambda x: F.xxhash64(x))})
+
+
+def _runs(texts: DataFrame, hashes: str, lengths: str) -> DataFrame:
+    """Hashes of all runs of neighbouring parts, as long as quotes in the conversation are."""
+    out = texts.select("own", "source", "source_turn", hashes, F.explode(F.filter(lengths, lambda n: (n > 1) & (n <= F.size(hashes)))).alias("n"))
+    out = out.select("*", F.explode(F.sequence(F.lit(1), F.size(hashes) - F.col("n") + 1)).alias("i"))
+    return out.select("own", "source", "source_turn", F.xxhash64(F.slice(hashes, F.col("i"), F.col("n"))).alias("h"))
 
 
 def passages(messages: DataFrame) -> DataFrame:
@@ -59,18 +77,35 @@ def conversations(messages: DataFrame, conversation: str = "conv_id", turn: str
     quoting = table.where(F.col("text").rlike(r"(?m)^\s*>")).select("uid")
     own = table.join(said, "uid", "left").join(quoting.withColumn("q", F.lit(True)), "uid", "left")
     own = stored(own.select("uid", "own", "conv", "turn", "role", F.expr("if(q, coalesce(own_text, ''), text)").alias("content")), "contents")
-    # every hash that a quote of a message may have: of the whole own text and of its paragraphs
-    parts = own.select("own", "uid", "turn", "content").withColumn("part", F.explode(F.array_distinct(F.concat(F.array("content"), F.split("content", r"\n\s*\n|\n")))))
-    parts = parts.select("own", F.col("uid").alias("source"), F.col("turn").alias("source_turn"), F.expr(f"xxhash64({_normal('part')})").alias("h"), F.expr(_normal("part")).alias("norm")).where("norm <> ''").drop("norm").distinct()
-    quotes = runs.where("level > 0").join(table.select("uid", "own", "turn"), "uid").select("own", "uid", "turn", "seq", "level", F.expr(f"xxhash64({_normal('body')})").alias("h"))
-    quotes = stored(quotes, "quotes")
-    # of each quote the latest earlier message with its hash; one pass over both in the order of turns, so that
+    quotes = stored(_cut(runs.where("level > 0").join(table.select("uid", "own", "turn"), "uid"), "body"), "quotes")
+    # every hash that a quote of a message may have: of the whole own text, of its paragraphs and lines, and of
+    # runs of these; runs only of the lengths that quotes in the conversation have
+    sized = quotes.select("own", F.size("ph").alias("n_ps"), F.size("lh").alias("n_ls")).distinct().groupBy("own").agg(F.collect_set("n_ps").alias("n_ps"), F.collect_set("n_ls").alias("n_ls"))
+    sources = stored(_cut(own.select("own", F.col("uid").alias("source"), F.col("turn").alias("source_turn"), "content").join(sized, "own"), "content").where("whole <> ''").drop("content", "ps", "ls"), "sources")
+    parts = sources.select("own", "source", "source_turn", F.explode(F.concat(F.array(F.xxhash64("whole")), "ph", "lh")).alias("h"))
+    parts = stored(parts.union(_runs(sources, "ph", "n_ps")).union(_runs(sources, "lh", "n_ls")).distinct(), "parts")
+
+    def keys(hashes: str, whole: bool, texts: str | None = None) -> Column:
+        return F.transform(hashes, lambda h, i: F.struct(F.lit(whole).alias("all"), h.alias("h"), (F.lit(0) if whole else F.length(F.col(texts)[i])).alias("letters")))
+
+    # a passage as a whole; and, if it has several, its paragraphs and lines
+    pieces = F.when(F.size("lh") > 1, F.concat(keys("ph", False, "ps"), keys("lh", False, "ls"))).otherwise(F.array().cast("array<struct<all:boolean,h:bigint,letters:int>>"))
+    asked = quotes.where("whole <> ''").withColumn("wholes", F.array(F.xxhash64("whole"), F.xxhash64("ph"), F.xxhash64("lh")))
+    asked = stored(asked.select("own", "uid", "turn", "seq", "level", F.explode(F.concat(keys("wholes", True), pieces)).alias("k")).select("own", "uid", "turn", "seq", "level", "k.*"), "asked")
+    # of each hash the latest earlier message that has it; one pass over both in the order of turns, so that
     # neither many quotes nor many messages of one hash multiply
-    both = quotes.select("own", "h", "turn", "uid", "seq", "level", F.lit(None).cast("struct<source_turn:long,source:long>").alias("m")).union(
-        parts.select("own", "h", F.col("source_turn").alias("turn"), F.lit(None).cast("long"), F.lit(None).cast("int"), F.lit(None).cast("int"), F.struct(F.col("source_turn").cast("long"), "source")))
+    both = asked.select("own", "h", "turn", "uid", "seq", "level", "all", F.lit(None).cast("struct<source_turn:long,source:long>").alias("m")).union(
+        parts.select("own", "h", F.col("source_turn").alias("turn"), F.lit(None).cast("long"), F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(None).cast("boolean"), F.struct(F.col("source_turn").cast("long"), "source")))
     before = Window.partitionBy("own", "h").orderBy(F.col("turn").asc_nulls_first(), F.col("uid").isNull().cast("int"), "m.source").rowsBetween(Window.unboundedPreceding, -1)
-    linked = both.withColumn("m", F.when(F.col("uid").isNotNull(), F.last("m", ignorenulls=True).over(before))).where("uid is not null and m is not null")
-    linked = linked.groupBy("uid", "seq", "level").agg(F.max("m").alias("m"))
+    found = both.withColumn("m", F.when(F.col("uid").isNotNull(), F.last("m", ignorenulls=True).over(before))).where("uid is not null and m is not null")
+    found = stored(found.select("own", "uid", "seq", "level", "all", "m").distinct(), "found")
+    whole = found.where("all").groupBy("uid", "seq", "level").agg(F.max("m").alias("m"))
+    # of the messages that a passage's pieces name, the one that has most of it, and of such the latest
+    named = found.where("not all").drop("all").join(whole, ["uid", "seq"], "left_anti")
+    named = named.join(asked.where("not all").select("uid", "seq", "h", "letters"), ["uid", "seq"]).withColumn("source", F.col("m.source"))
+    named = named.join(parts.select("own", "source", "h"), ["own", "source", "h"]).groupBy("uid", "seq", "level", "m").agg(F.sum("letters").alias("letters"))
+    named = named.groupBy("uid", "seq", "level").agg(F.max(F.struct("letters", "m")).alias("best")).select("uid", "seq", "level", "best.m")
+    linked = whole.union(named)
     first = linked.groupBy("uid").agg(F.min(F.struct("level", "seq", "m")).alias("f"), F.count("*").alias("n_linked"))
     first = stored(first.select("uid", F.col("f.m.source").alias("parent"), "n_linked"), "replies")
     counts = stored(quotes.groupBy("uid").agg(F.count("*").alias("n_quotes")), "counts")

@@ -214,6 +214,28 @@ def test_chat_links_quotes(spark):
     assert conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def replies(spark, texts):
+    rows = [(c, i, "user", x) for c, conv in enumerate(texts) for i, x in enumerate(conv)]
+    got = conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).toPandas().sort_values(["conv_id", "turn"])
+    assert len(got) == len(rows)
+    return {c: [(None if p != p else int(p), int(n)) for p, n in zip(g["parent_turn"], g["n_linked"])] for c, g in got.groupby("conv_id")}
+
+
+def test_chat_links_parts_of_messages(spark):
+    three = "First line\nand second of one.\n\nParagraph two.\n\nParagraph three,\nits end."
+    got = replies(spark, [
+        [three, "Other.", "> First line\n> and second of one.\nYes."],  # a paragraph of two lines
+        [three, "Other.", "> Paragraph two.\n>\n> Paragraph three,\n> its end.\nYes."],  # two of three paragraphs
+        [three, "Other.", "> and second of one.\n>\n> Paragraph two.\nYes."],  # a run of lines over paragraphs
+        [three, "Other.", "> First line and second\n> of one.\n>\n> Paragraph\n> two.\nYes."],  # wrapped anew
+        [three, "Paragraph three,", "Other.", "> First line\n> [...]\n> Paragraph three,\nYes."],  # with a gap; turn 0 has most of it
+        [three, "Paragraph two.", "Paragraph three,\nits end.", "> Paragraph two.\n>\n> Paragraph three,\n> its end.\nYes."],  # the run is of turn 0 only
+        [three, "Other.", "> Nothing of it\n> at all\nYes."]])
+    for c in range(4):
+        assert got[c][2] == (0, 1), c
+    assert got[4][3] == (0, 1) and got[5][3] == (0, 1) and got[6][2] == (1, 0)
+
+
 def test_language(spark):
     words = {"en": "the quick brown fox jumps over lazy dogs with them", "de": "der schnelle braune fuchs springt über faule hunde und", "fr": "le rapide renard brun saute par dessus les chiens où"}
     docs = spark.createDataFrame([(i, f"{w} {w} {i}", k, "s") for k, w in words.items() for i in range(5)], "doc_id long, text string, lang string, source string")
