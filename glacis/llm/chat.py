@@ -19,7 +19,7 @@ from .common import stored, text_column
 
 #: A quoted line: marks, with blanks between, then the text. An attribution line that announces a quote.
 MARKS = r"^\\s*((?:>[ \\t]?)+)"
-ATTRIBUTION = r"(?i)^(on\\b.*\\bwrote|am\\b.*\\bschrieb.*|le\\b.*\\ba écrit|el\\b.*\\bescribió)\\s*:\\s*$"
+ATTRIBUTION = r"(?i)^\s*(on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$"
 
 
 def _normal(column: Column | str) -> Column:
@@ -32,7 +32,7 @@ def _cut(texts: DataFrame, column: str) -> DataFrame:
     def full(by: str) -> Column:
         return F.filter(F.transform(F.split("bare", by), _normal), lambda x: x != "")
 
-    bare = F.array_join(F.split(column, r"\r\n|\n|\r"), "\n")
+    bare = F.array_join(F.filter(F.split(column, r"\r\n|\n|\r"), lambda x: ~x.rlike(ATTRIBUTION)), "\n")  # as in quotes
     out = texts.withColumn("bare", bare).withColumns({"whole": _normal("bare"), "ps": full(r"\n\s*\n"), "ls": full(r"\n")}).drop("bare")
     return out.withColumns({"ph": F.transform("ps", lambda x: F.xxhash64(x)), "lh": F.transform("ls", lambda x: F.xxhash64(x))})
 
@@ -48,7 +48,7 @@ def passages(messages: DataFrame) -> DataFrame:
     """(uid, seq, level, body): maximal runs of lines of one quote level, in their order; level 0 is the message's own text."""
     lines = messages.select("uid", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("line", "raw"))
     lines = lines.select("uid", "line", F.expr(f"length(regexp_replace(regexp_extract(raw, '{MARKS}', 1), '[^>]', ''))").alias("level"), F.expr(f"regexp_replace(raw, '{MARKS}', '')").alias("body"))
-    lines = lines.where(~((F.col("level") == 0) & F.expr(f"body rlike '{ATTRIBUTION}'")))
+    lines = lines.where(~F.col("body").rlike(ATTRIBUTION))  # at every level: an answer that is quoted announced its own quote
     # a message's lines are gathered by message alone, each one text long
     whole = lines.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("line", "level", "body"))).alias("l"))
     runs = F.expr("""aggregate(l, cast(array() as array<struct<level:int,body:string>>), (a, x) ->

@@ -236,6 +236,15 @@ def test_chat_links_parts_of_messages(spark):
     assert got[4][3] == (0, 1) and got[5][3] == (0, 1) and got[6][2] == (1, 0)
 
 
+def test_chat_nested_attributions(spark):
+    got = replies(spark, [
+        ["A text", "B own\n\nOn Monday A wrote:\n> A text", "C own\n\nOn Tuesday B wrote:\n> B own\n>\n> On Monday A wrote:\n> > A text"],
+        ["A text", "B own\n\nAm Montag schrieb A:\n> A text", "Other.", "C own\n\nLe mardi B a écrit :\n> B own\n>\n> Am Montag schrieb A:\n>> A text"],
+        ["A text", "B own is long", "Other.", "C own\n\n> B own\n> is long\n> On Monday A wrote:\n> > A text"],  # wrapped anew
+        ["On Monday A wrote:\nA text", "Other.", "> On Monday A wrote:\n> A text\nYes."]])
+    assert got[0] == [(None, 0), (0, 1), (1, 2)] and got[1] == [(None, 0), (0, 1), (1, 0), (1, 2)] and got[2][3] == (1, 2) and got[3][2] == (0, 1)
+
+
 def test_language(spark):
     words = {"en": "the quick brown fox jumps over lazy dogs with them", "de": "der schnelle braune fuchs springt über faule hunde und", "fr": "le rapide renard brun saute par dessus les chiens où"}
     docs = spark.createDataFrame([(i, f"{w} {w} {i}", k, "s") for k, w in words.items() for i in range(5)], "doc_id long, text string, lang string, source string")
