@@ -2,10 +2,10 @@
 
 Documents become token ids, ids become pieces of at most ``capacity`` tokens, and
 pieces are dealt by hash into demes of bounded size. Each deme is packed on several
-islands: an island starts from best-fit packings, crossover injects whole well-filled
+islands: an island starts from random packings, crossover injects whole well-filled
 bins of one parent into the other, bins that hold a piece twice are dissolved,
 and the displaced pieces are placed by best fit. Between epochs the elite packing of
-each island goes to the next one. An island rests once its packing
+each island goes to the next one. A deme rests once a packing of it
 reaches the lower bound, as no packing is better.
 """
 
@@ -13,7 +13,10 @@ from __future__ import annotations
 
 import base64
 import bisect
+import json
+import re
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,21 +25,31 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import BLOCK_CHARS, CACHE_CHUNKS, blocks
+from .bpe import BLOCK_CHARS, CACHE_CHUNKS, blocks, byte_letters
 from .common import stored, text_column
 
 #: The split pattern of byte-level BPE (a fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A space with no white space beside it. What Python takes for white space holds all that the pattern does.
+LONE = re.compile(r"(?<=\S) (?=\S)")
+#: Letters of a part that is worth keeping.
+LONG = 64
 #: The special token of the vocabulary: where a text holds it, it is one token.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 
 
 class ByteBPE:
-    """Ids of the byte-level BPE whose ranks the file at ``path`` lists."""
+    """Ids of a byte-level BPE: ``path`` is a file of ranks, or one of vocabulary and merges (``.json``)."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if path.endswith(".json"):
+            with open(path, encoding="utf-8") as f:
+                model = json.load(f)["model"]
+            byte_of = {letter: b for b, letter in enumerate(byte_letters())}
+            ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in model["vocab"].items() if t != SPECIAL}
+        else:
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.chunks: dict[str, bytes] = {}
 
@@ -44,16 +57,20 @@ class ByteBPE:
         """Little-endian unsigned 32-bit ids."""
         if SPECIAL in text:
             return SPECIAL_ID.to_bytes(4, "little").join(self.ids(t) for t in text.split(SPECIAL))
-        if "  " in text:  # runs of spaces are split by what surrounds them
-            return np.array(self.encode(text), "<u4").tobytes()
-        # elsewhere the pattern always splits before a space, so words are encoded once
-        first, *rest = text.split(" ")
+        # the pattern always splits before a space that stands alone between others: what lies between is encoded
+        # once; white space of other kinds, and runs of it, stay within one part
+        parts = text.split(" ")
+        if parts != text.split():
+            parts = LONE.split(text)
+        first, *rest = parts
         out = [np.array(self.encode(first), "<u4").tobytes()]
         chunks = self.chunks
         for w in rest:
             got = chunks.get(w)
             if got is None:
-                got = chunks[w] = np.array(self.encode(" " + w), "<u4").tobytes()
+                got = np.array(self.encode(" " + w), "<u4").tobytes()
+                if len(w) <= LONG:
+                    chunks[w] = got
             out.append(got)
         if len(chunks) > CACHE_CHUNKS:
             chunks.clear()
@@ -140,11 +157,15 @@ def best_fit(order, sizes: list[int], capacity: int, bins=()) -> list[list[int]]
     return state.all()
 
 
-def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: int, rng) -> list[list[int]]:
-    """Whole bins of ``b``, the fuller ones likelier, injected into ``a``."""
-    fill = np.array([sum(map(sizes.__getitem__, one)) for one in b]) / capacity
+def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: int, rng, dissolved: float = 0.02) -> list[list[int]]:
+    """Whole bins of ``b``, the fuller ones likelier, injected into ``a``.
+
+    Bins of ``a`` that hold a piece of them are removed, and so is the given share of the emptiest of the rest;
+    the pieces that are displaced go, the longest first, where they fit best.
+    """
+    fill = np.fromiter((sum(map(sizes.__getitem__, one)) for one in b), np.float64, len(b)) / capacity
     chance = fill ** 8
-    picked = np.flatnonzero(rng.random(len(b)) < 0.3 * chance / max(chance.mean(), 1e-9))
+    picked = np.flatnonzero(rng.random(len(b)) < rng.uniform(0.1, 0.5) * chance / max(chance.mean(), 1e-9))
     injected = [b[i] for i in picked]
     twice = {i for one in injected for i in one}
     kept, displaced = [], []
@@ -153,9 +174,8 @@ def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity
             kept.append(one)
         else:
             displaced += [i for i in one if i not in twice]
-    # the emptiest bins are dissolved too, so that their pieces may fill gaps
     load = [sum(map(sizes.__getitem__, one)) for one in kept]
-    for i in sorted(range(len(kept)), key=load.__getitem__)[: max(1, len(kept) // 50)] if kept else []:
+    for i in sorted(range(len(kept)), key=load.__getitem__)[: max(1, int(len(kept) * dissolved))] if kept else []:
         displaced += kept[i]
         kept[i] = None
     displaced.sort(key=sizes.__getitem__, reverse=True)
@@ -167,27 +187,33 @@ def fitness(bins: list[list[int]], sizes: list[int], capacity: int):
     return -len(bins), sum((sum(map(sizes.__getitem__, one)) / capacity) ** 2 for one in bins) / max(len(bins), 1)
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, elites=(), population: int = 4, generations: int = 8) -> list[list[int]]:
-    """One island's epoch: the best packing it finds."""
+def evolve(sizes: list[int], capacity: int, seed: int, elites=(), population: int = 4, generations: int = 12) -> tuple[list[list[int]], int]:
+    """One island's epoch: the best packing it finds, and how many crossovers it took.
+
+    Without ``elites`` the population is grown at random: pieces placed in any order, far from the bound.
+    Crossover does the rest. It ends at the lower bound, as no packing is better, or after so many ``generations``
+    (few pieces get more of them).
+    """
     bound = -(-sum(sizes) // capacity)
     rng = np.random.default_rng(seed)
-    order = sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True)
-    pool = [list(e) for e in elites] or [best_fit(order, sizes, capacity)]
-    while len(pool) < population and min(map(len, pool)) > bound:
-        # decreasing sizes with some noise
-        noisy = np.array(sizes) * rng.normal(1, 0.05 * len(pool), len(sizes))
-        pool.append(best_fit(np.argsort(-noisy, kind="stable").tolist(), sizes, capacity))
+    generations = max(generations, min(400, 40_000 // max(len(sizes), 1)))
+    pool = [list(e) for e in elites]
+    while len(pool) < population:
+        pool.append(best_fit(rng.permutation(len(sizes)).tolist(), sizes, capacity))
     score = lambda one: fitness(one, sizes, capacity)
-    pool.sort(key=score, reverse=True)
-    for _ in range(generations):
-        if len(pool[0]) <= bound:
-            break
-        a, b = rng.permutation(len(pool))[:2] if len(pool) > 1 else (0, 0)
-        pool.append(crossover(pool[a], pool[b], sizes, capacity, rng))
-        pool.append(crossover(pool[b], pool[a], sizes, capacity, rng))
-        pool.sort(key=score, reverse=True)
-        del pool[population:]
-    return pool[0]
+    ranked = sorted(((score(one), -i, one) for i, one in enumerate(pool)), reverse=True)
+    made = 0
+    while len(ranked[0][2]) > bound and made < 2 * generations:
+        a, b = rng.permutation(len(ranked))[:2]
+        for x, y in ((a, b), (b, a)):
+            made += 1
+            child = crossover(ranked[x][2], ranked[y][2], sizes, capacity, rng, 0.02 if made % 4 else 0.1)
+            got = score(child)
+            if all(got != s for s, _, _ in ranked):  # a twin adds nothing
+                ranked.append((got, -len(pool) - made, child))
+        ranked.sort(key=lambda r: r[:2], reverse=True)
+        del ranked[population:]
+    return ranked[0][2], made
 
 
 def _epoch(frame: DataFrame, capacity: int, islands: int, epoch: int) -> DataFrame:
@@ -203,34 +229,50 @@ def _epoch(frame: DataFrame, capacity: int, islands: int, epoch: int) -> DataFra
         for home, own in pdf.groupby("home"):
             if home >= 0:
                 elites.append([[number[u] for u in g.tolist()] for _, g in own["uid"].groupby(own["bin"])])
-        best = evolve(sizes, capacity, 1_000_003 * deme + 101 * island + epoch, elites)
+        best, made = evolve(sizes, capacity, 1_000_003 * deme + 101 * island + epoch, elites)
         bin_of = np.empty(len(sizes), np.int64)
         for b, one in enumerate(best):
             bin_of[one] = b
-        return pd.DataFrame({"deme": deme, "island": island, "uid": items["uid"].to_numpy(), "length": items["length"].to_numpy(), "home": island, "bin": bin_of, "bins": len(best)})
+        return pd.DataFrame({"deme": deme, "island": island, "uid": items["uid"].to_numpy(), "length": items["length"].to_numpy(), "home": island, "bin": bin_of,
+                             "bins": len(best), "bound": -(-sum(sizes) // capacity), "made": made})
 
-    return frame.groupBy("deme", "island").applyInPandas(run, "deme long, island int, uid long, length long, home int, bin long, bins long")
+    return frame.groupBy("deme", "island").applyInPandas(run, "deme long, island int, uid long, length long, home int, bin long, bins long, bound long, made long")
 
 
-def pack(table: DataFrame, capacity: int = 2048, deme: int = 8192, islands: int = 2, epochs: int = 2) -> DataFrame:
-    """``table`` has ``uid`` (unique) and ``length`` (1 to ``capacity``); rows (uid, sequence_id, offset).
+def islands_of(table: DataFrame, capacity: int = 2048, deme: int = 8192, islands: int = 2, epochs: int = 3) -> DataFrame:
+    """The packings of all islands after the last epoch: rows (deme, island, uid, length, home, bin, bins, bound, made).
 
-    Pieces that fill a sequence have it for themselves. ``deme`` bounds what one
-    task holds; demes are dealt by hash of uid, so equal keys don't meet in one.
+    ``table`` has ``uid`` and ``length`` below ``capacity``. Demes whose best island is at its bound rest; in the others
+    each island is joined by the elite of the one before.
     """
-    full = table.where(F.col("length") >= capacity).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    part = table.where(F.col("length") < capacity)
-    demes = max(1, -(-part.count() // deme))
-    start = (part.withColumn("deme", F.pmod(F.xxhash64("uid"), F.lit(demes)))
+    demes = max(1, -(-table.count() // deme))
+    start = (table.withColumn("deme", F.pmod(F.xxhash64("uid"), F.lit(demes)))
              .withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
              .select("deme", "island", "uid", "length", F.lit(-1).alias("home"), F.lit(0).cast("long").alias("bin")))
     state = stored(_epoch(start, capacity, islands, 0), "elites")
+    done = []
     for epoch in range(1, epochs):
+        best = stored(state.groupBy("deme").agg(F.min("bins").alias("least"), F.min("bound").alias("low")).where("least > low").select("deme"), "open")
+        if not best.limit(1).count():
+            break
+        done.append(state.join(best, "deme", "left_anti"))
         columns = ["deme", "island", "uid", "length", "home", "bin"]
-        guests = state.withColumn("island", ((F.col("island") + 1) % islands).cast("int")).select(*columns)
-        state = stored(_epoch(state.select(*columns).union(guests), capacity, islands, epoch), "elites")
+        going = state.join(best, "deme").select(*columns)
+        guests = going.withColumn("island", ((F.col("island") + 1) % islands).cast("int"))
+        state = stored(_epoch(going.union(guests), capacity, islands, epoch), "elites")
+    return reduce(DataFrame.union, [*done, state])
+
+
+def pack(table: DataFrame, capacity: int = 2048, deme: int = 8192, islands: int = 2, epochs: int = 3) -> DataFrame:
+    """``table`` has ``uid`` (unique) and ``length`` (1 to ``capacity``); rows (uid, sequence_id, offset).
+
+    Pieces that fill a sequence have it for themselves. ``deme`` bounds what one
+    task holds; demes are dealt by hash of uid, so equal keys don't meet in one.
+    """
+    full = table.where(F.col("length") >= capacity).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    state = islands_of(table.where(F.col("length") < capacity), capacity, deme, islands, epochs)
     best = state.groupBy("deme", "island").agg(F.min("bins").alias("bins")).groupBy("deme").agg(F.min(F.struct("bins", "island")).alias("m"))
-    best = best.select("deme", F.col("m.island").alias("island"))
+    best = stored(best.select("deme", F.col("m.island").alias("island")), "best")
     chosen = state.join(best, ["deme", "island"]).withColumn("sequence_id", F.col("deme") * F.lit(1 << 20) + F.col("bin"))
     inside = Window.partitionBy("sequence_id").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)
     placed = chosen.select("uid", "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"))

@@ -70,7 +70,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

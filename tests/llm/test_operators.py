@@ -17,7 +17,7 @@ from glacis.llm.covertree import near_components
 from glacis.llm.exact_dedup import exact_dedup
 from glacis.llm.html import extract, main_text
 from glacis.llm.jaccard import jaccard_components
-from glacis.llm.packing import ByteBPE, evolve, pack_documents
+from glacis.llm.packing import ByteBPE, best_fit, evolve, islands_of, pack, pack_documents
 from glacis.llm.queries import tokenizer
 from glacis.llm.sharding import shard
 
@@ -261,7 +261,7 @@ def test_packing(spark):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
     rows = AWKWARD + [(100 + i, f"word{i} " * (60 * i)) for i in range(30)]
-    got = pack_documents(documents(spark, rows), tokenizer("byte_bpe_50k.tiktoken"), capacity=512).toPandas()
+    got = pack_documents(documents(spark, rows), tokenizer("byte_bpe_50k.json"), capacity=512).toPandas()
     ids = sorted(np.array(t.encode(x or "", add_special_tokens=False).ids + [0], "<u4").tobytes() for _, x in rows)
     total = sum(len(x) // 4 for x in ids)
     assert got["length"].sum() == total and got["length"].between(1, 512).all()
@@ -276,21 +276,55 @@ def test_packing(spark):
             crc[zlib.crc32(x[4 * at:4 * (at + size)])] += 1
             at, size = at + size, 512
     assert crc == collections.Counter(got["ids_crc32"])
-    assert pack_documents(empty(spark), tokenizer("byte_bpe_50k.tiktoken")).count() == 0
+    assert pack_documents(empty(spark), tokenizer("byte_bpe_50k.json")).count() == 0
 
 
 def test_byte_bpe_chunks():
     tokenizers = pytest.importorskip("tokenizers")
-    t, own = tokenizers.Tokenizer.from_file(tokenizer("byte_bpe_50k.json")), ByteBPE(tokenizer("byte_bpe_50k.tiktoken"))
-    for text in ("a  b   c", " a \n b\t\n\nc ", "it's 12345 ß", "", " "):
-        assert t.encode(text, add_special_tokens=False).ids == np.frombuffer(own.ids(text), "<u4").tolist()
+    t, own = tokenizers.Tokenizer.from_file(tokenizer("byte_bpe_50k.json")), ByteBPE(tokenizer("byte_bpe_50k.json"))
+    ranks = ByteBPE(tokenizer("byte_bpe_50k.tiktoken"))
+    spaces = " \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u2003\u2028\u202f\u3000\u200b\ufeff"
+    rng = np.random.default_rng(11)
+    letters = ["a", "bc", "'s", "12", "é", "?!", "漢", "\u0301", " ", " ", "  ", *spaces]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 14))) for _ in range(5000)]
+    texts += ["a  b   c", " a \n b\t\n\nc ", "it's 12345 ß", "", " ", "a \xa0 \xa0 b", "x" * 5000, "x " * 5000 + "\n", "a <|endoftext|> b", "<|endoftext|><|endoftext|>"]
+    for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False)):
+        assert e.ids == np.frombuffer(own.ids(text), "<u4").tolist() == np.frombuffer(ranks.ids(text), "<u4").tolist(), repr(text)
+
+
+def decreasing(sizes, capacity):
+    return len(best_fit(sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True), sizes, capacity))
 
 
 def test_islands_reach_a_perfect_packing():
     rng = np.random.default_rng(4)
     sizes = [s for _ in range(40) for s in np.diff([0, *sorted(rng.choice(range(1, 100), 3, replace=False)), 100]).tolist()]
-    got = evolve(sizes, 100, 5, generations=40)
-    assert sorted(i for b in got for i in b) == list(range(len(sizes))) and len(got) <= 41 and all(sum(sizes[i] for i in b) <= 100 for b in got)
+    got, made = evolve(sizes, 100, 5)
+    assert sorted(i for b in got for i in b) == list(range(len(sizes))) and len(got) == 40 and all(sum(sizes[i] for i in b) <= 100 for b in got)
+    assert made > 0  # the start is random: crossover is what reaches the bound
+
+
+def test_islands_beat_best_fit_decreasing():
+    for seed in range(3):  # three pieces fill a bin, none fits beside others
+        rng, sizes = np.random.default_rng(seed), []
+        for _ in range(20):
+            a = int(rng.integers(380, 490))
+            b = int(rng.integers(250, (1000 - a) // 2 + 1))
+            sizes += [a, b, 1000 - a - b]
+        got, _ = evolve(sizes, 1000, seed)
+        assert sorted(i for b in got for i in b) == list(range(60)) and all(sum(sizes[i] for i in b) <= 1000 for b in got)
+        assert len(got) < decreasing(sizes, 1000)
+
+
+def test_elites_migrate(spark):
+    rng = np.random.default_rng(6)
+    sizes = [int(x) for _ in range(20) for a in [rng.integers(380, 490)] for b in [rng.integers(250, (1000 - a) // 2 + 1)] for x in (a, b, 1000 - a - b)]
+    table = spark.createDataFrame(list(enumerate(sizes)), "uid long, length long")
+    one = islands_of(table, 1000, epochs=1).select("island", "bins").distinct().collect()
+    three = islands_of(table, 1000, epochs=3).select("island", "bins", "bound", "made").distinct().collect()
+    assert len(one) == len(three) == 2 and max(r["bins"] for r in three) <= min(r["bins"] for r in one) and {r["bound"] for r in three} == {20}
+    placed = pack(table, 1000).join(table, "uid").toPandas()
+    assert len(placed) == 60 and placed.groupby("sequence_id")["length"].sum().max() <= 1000 and placed["sequence_id"].nunique() == min(r["bins"] for r in three)
 
 
 def test_sharding(spark):
@@ -313,6 +347,7 @@ def test_pipeline_keeps_what_brute_force_keeps(spark, tmp_path):
     rng = np.random.default_rng(5)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 4))
     base = [" ".join(word() for _ in range(60)) for _ in range(30)]
+    base[3] = base[4] + " " + word()  # near one another, and exact copies of both
     rows = [(i, t) for i, t in enumerate(base)] + [(50 + i, t.upper()) for i, t in enumerate(base[:5])] + [(70 + i, t + " " + word()) for i, t in enumerate(base[5:10])] + [(90, "12 34"), (91, ""), (92, None)]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
