@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is named (tests), one of our own."""
+    """The cluster's shared folder; where none is named and all runs in one process (tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    own = os.path.join(tempfile.gettempdir(), "checkpoints", f"glacis-{os.getpid()}")
-    return f"file://{own}"
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints', f'glacis-{os.getpid()}')}"
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -29,23 +32,66 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Tables in the shared folder that are still there, in the order of their making.
+_LIVE: dict[str, None] = {}
+#: Spark deletes the shuffle files of an action as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there,
     and a lost executor costs only the tasks that were running on it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/glacis-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    if not _LIVE:
+        atexit.register(lambda: [_drop(spark, p) for p in _LIVE])
+    _LIVE[path] = None
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete stored tables that nothing reads any more, and let Spark drop the shuffle files of finished jobs."""
+    """Delete stored tables that nothing reads any more."""
     for t in tables:
+        _LIVE.pop(t.stored_at, None)
         _drop(t.sparkSession, t.stored_at)
-    tables[0].sparkSession._jvm.System.gc()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """What is stored meanwhile goes at the end, but for the tables that the given function is called with."""
+    before, kept = set(_LIVE), []
+    try:
+        yield kept.append
+    finally:
+        for path in [p for p in _LIVE if p not in before and p not in [t.stored_at for t in kept]]:
+            _LIVE.pop(path)
+            _drop(spark, path)
+
+
+def bitmap(keys: DataFrame, most: int = 26) -> tuple[np.ndarray, int]:
+    """A bit map of the hashes ``key``, of eight bits each and 2 ** ``most`` bits at most in all (8 MB); where it
+    fills up it only lets more through. With it the logarithm of its bits."""
+    n = keys.count()
+    bits = int(np.clip(np.ceil(np.log2(max(8 * n, 2))), 16, most))
+    rows = (keys.select(F.shiftrightunsigned("key", 64 - bits).alias("bit"))
+            .groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("held")).toPandas())
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[rows["word"].to_numpy(np.int64)] = rows["held"].to_numpy(np.int64).view(np.uint64)
+    return out, bits
+
+
+def held(words: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
+    """Which ``keys`` (unsigned) the bit map may hold."""
+    bit = keys >> np.uint64(64 - bits)
+    return (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
 def text_column(df: DataFrame, column: str):

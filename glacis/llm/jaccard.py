@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .bpe import blocks
-from .common import components, discard, stored, text_column
+from .common import bitmap, components, discard, stored, text_column
+from .common import held as among
 from .shingles import ROUND, identity, mix, sets
 
 BLOCK_CHARS = 2_000_000
-#: log2 of the sketch's counters, and of the most bits of a filter that is broadcast (8 MB).
-SKETCH_BITS, FILTER_BITS = 18, 26
+#: log2 of the sketch's counters.
+SKETCH_BITS = 18
 #: A shingle is frequent when its counter has so many times the mean, and this many at least.
 FREQUENT, FREQUENT_LEAST = 3.0, 48
 #: Fragments that overlaps are counted in.
@@ -110,23 +111,6 @@ def _sketch(table: DataFrame) -> np.ndarray:
     return out
 
 
-def _filter(keys: DataFrame) -> tuple[np.ndarray, int]:
-    """A bit map of the hashes ``key``, of eight bits each and FILTER_BITS bits at most in all; where it
-    fills up it only lets more through."""
-    n = keys.count()
-    bits = int(np.clip(np.ceil(np.log2(max(8 * n, 2))), 16, FILTER_BITS))
-    rows = (keys.select(F.shiftrightunsigned("key", 64 - bits).alias("bit"))
-            .groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("held")).toPandas())
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[rows["word"].to_numpy(np.int64)] = rows["held"].to_numpy(np.int64).view(np.uint64)
-    return out, bits
-
-
-def _held(words: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
-    bit = keys >> np.uint64(64 - bits)
-    return (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-
-
 def _distances(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     """Overlap of each pair (a, b): counted by fragment, then summed. ``whole``: (node, fragment, n, hashes)."""
     left = whole.select(F.col("node").alias("a"), "fragment", F.col("n").alias("na"), F.col("hashes").alias("ha"))
@@ -225,14 +209,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     named = source.select("text").mapInArrow(name, "key long, node long")
     several = stored(named.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key"), "segments")
-    passing = spark.sparkContext.broadcast(_filter(several))
+    passing = spark.sparkContext.broadcast(bitmap(several))
 
     def take(batches):
         held, bits = passing.value
         for _, texts in blocks(batches, 0, BLOCK_CHARS):
             rows = []
             for _, node, hashes, s in found(texts):
-                s = s[_held(held, bits, s)] if len(s) else s
+                s = s[among(held, bits, s)] if len(s) else s
                 if len(s):
                     rows.append((s, np.full(len(s), node), np.full(len(s), len(hashes))))
             if rows:
@@ -245,14 +229,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     nodes = stored(members.groupBy("node", "n").agg(F.count("*").alias("shared")), "nodes")
     plain, members = members, stored(members.drop("n").join(nodes, "node"), "members")
     discard(taken, several, plain)
-    wanted = spark.sparkContext.broadcast(_filter(nodes.select(F.col("node").alias("key"))))
+    wanted = spark.sparkContext.broadcast(bitmap(nodes.select(F.col("node").alias("key"))))
 
     def fetch(batches):
         held, bits = wanted.value
         for _, texts in blocks(batches, 0, BLOCK_CHARS):
             hashes, offsets = sets(texts, words)
             own = identity(hashes, offsets)
-            hit = np.flatnonzero(_held(held, bits, own) & (np.diff(offsets) > 0))
+            hit = np.flatnonzero(among(held, bits, own) & (np.diff(offsets) > 0))
             if len(hit):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(_signed(own[hit])), pa.array([_signed(hashes[offsets[i]:offsets[i + 1]]) for i in hit], pa.list_(pa.int64()))], ["node", "hashes"])
