@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from glacis.llm import langid, toxicity
+from glacis.llm import covertree, langid, toxicity
 from glacis.llm.bpe import encode_decode
 from glacis.llm.chat import conversations
 from glacis.llm.common import components
@@ -70,6 +70,50 @@ def test_cover_tree(spark):
     assert near_components(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_cover_tree_blocks(spark, monkeypatch):
+    """Cells that are split twice, blocks that meet, lengths side by side, null and repeated keys, clashing columns."""
+    for name, value in (("BLOCK", 96), ("SAMPLE", 64), ("TOGETHER", 2), ("CENTRES", 4)):
+        monkeypatch.setattr(covertree, name, value)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(300, 8))
+    vectors = [*base, *[base[i % 20] + 0.1 * rng.normal(size=8) for i in range(300)], *[base[0] + 1e-3 * rng.normal(size=8) for _ in range(150)], *[base[1]] * 120, *rng.normal(size=(150, 3)), *[2 * base[1]] * 5]
+    keys = [None if i in (5, 700) else 41 if i in (40, 42, 720) else i for i in range(len(vectors))]
+    rows = [(k, list(map(float, v)), "u", "c") for k, v in zip(keys, vectors)]
+    got = near_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, uid string, cell string")).collect()
+    link = np.zeros((len(vectors), len(vectors)), bool)
+    for width in (3, 8):
+        at = [i for i, v in enumerate(vectors) if len(v) == width]
+        m = np.array([vectors[i] for i in at])
+        m /= np.linalg.norm(m, axis=1)[:, None]
+        link[np.ix_(at, at)] = m @ m.T >= 0.9
+    np.fill_diagonal(link, False)
+    root = union_find(range(len(vectors)), np.argwhere(link))
+    least = {}
+    for i, r in root.items():
+        least[r] = min((k for k in (least.get(r), keys[i]) if k is not None), default=None)
+    want = [(keys[i], int(link[i].sum()), least[root[i]] if least[root[i]] is not None else keys[i]) for i in range(len(vectors))]
+    key = lambda x: tuple(-1 if v is None else v for v in x)
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_cover_tree_walk():
+    """Two different trees, with weights, against all products."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(30, 6))
+    a, b = (covertree.unit(np.concatenate([base + 0.05 * rng.normal(size=base.shape), rng.normal(size=(200, 6)), base[:1] + 1e-4 * rng.normal(size=(40, 6))])) for _ in range(2))
+    wa, wb = rng.integers(1, 4, len(a)), rng.integers(1, 4, len(b))
+    ta, tb = (covertree.Tree(p, covertree.build(p), w) for p, w in ((a, wa), (b, wb)))
+    link = a @ b.T >= 0.9
+    na, nb, (x, y) = covertree.traverse(ta, tb, 0.9, False)
+    assert (na == (link @ wb)[ta.order]).all() and (nb == (link.T @ wa)[tb.order]).all()
+    both = union_find([("a", i) for i in range(len(a))] + [("b", i) for i in range(len(b))], [(("a", i), ("b", j)) for i, j in np.argwhere(link)])
+    mine = union_find(both, [(("a", int(ta.order[i])), ("b", int(tb.order[j]))) for i, j in zip(x, y)])
+    assert mine == both
+    own = a @ a.T >= 0.9
+    np.fill_diagonal(own, False)
+    assert (covertree.traverse(ta, ta, 0.9, True)[0] == (own @ wa)[ta.order]).all()
+
+
 def test_bpe_matches_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = tokenizer("word_bpe_49k.json")
