@@ -30,7 +30,7 @@ from .common import bitmap, components, discard, stored, text_column
 from .common import held as among
 from .shingles import ROUND, identity, mix, sets
 
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 #: log2 of the sketch's counters.
 SKETCH_BITS = 18
 #: A shingle is frequent when its counter has so many times the mean, and this many at least.

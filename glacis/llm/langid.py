@@ -22,7 +22,7 @@ from .html import main_text
 from .ngrams import grams, joined, scores
 
 SIZES, BITS = range(2, 5), 15
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 500_000
 #: n-grams overlap: so many count as one observation, and so many observations at most.
 OVERLAP, MOST = 6.0, 60.0
 #: Pseudo-counts by which each level of the host hierarchy leans on the one above.

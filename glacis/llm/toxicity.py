@@ -19,7 +19,7 @@ from .ngrams import grams, joined, scores
 
 SIZES = range(3, 7)
 BITS = 20
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 500_000
 
 
 class Model:
