@@ -3,8 +3,8 @@
 Markup is stripped into lines, one for each block of the page; a line weighs the
 characters that are not links, menus, notices or other furniture. Weights summed over sliding
 windows of lines give the block distribution: the text starts where it surges
-and ends where it dives to zero. An article or main element whose own text surges
-has its lines raised; no line is ever lowered for lying outside.
+and ends where it dives to zero. An article or main element has a distribution of its own; no line
+is ever lowered for lying outside.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from .bpe import blocks
 from .common import text_column
 
 BLOCK_CHARS = 4_000_000
-#: Lines in a window; the sum at which the distribution surges, if the page reaches it.
+#: Lines in a window; the sum at which the distribution surges, if the page reaches it: the values that the method was published with.
 WINDOW, SURGE = 3, 86
 
 TAG = re.compile(
@@ -198,46 +198,40 @@ def lines(page: str, spared: frozenset[int] = frozenset()) -> list[tuple[str, in
     return lines(page, again) if again else out
 
 
+def between(weights: list[int], level: int, window: int = WINDOW) -> list[tuple[int, int]]:
+    """(surge, dive) of each stretch of lines whose distribution reaches ``level``: the distribution is the sum of each
+    line's window (it and those after it). A surge rises from its foot, the first line with text since the
+    distribution was zero; the dive is where it is zero again."""
+    sums = [sum(weights[i:i + window]) for i in range(len(weights))]
+    out, i = [], 0
+    while i < len(sums):
+        j = i
+        while j < len(sums) and sums[j] > 0:
+            j += 1
+        if j > i and max(sums[i:j]) >= level:
+            while not weights[i]:
+                i += 1
+            out.append((i, j))
+        i = j + 1
+    return out
+
+
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """The text between surge and dive points, blocks joined by one space.
 
     Windows run over the lines outside articles as one sequence and over those of each article as
-    another, so that neither lifts the other. An article that surges by its own text has each of its
-    lines raised to a surge: it then starts with its first line and does not dive before its last.
+    another, so that neither lifts the other; a line of an article weighs one letter more, so that a list of
+    links amid it is no dive. A surge is as high as ``surge``, or as the page's highest window if none is.
     """
     units: dict[int, list[int]] = {}
     got = lines(page)
     for i, (_, _, unit) in enumerate(got):
         units.setdefault(unit, []).append(i)
-
-    def windows(weights: list[int]) -> list[int]:
-        return [sum(weights[i:i + window]) for i in range(len(weights))]
-
-    weights = {unit: [got[i][1] for i in at] for unit, at in units.items()}
-    sums = {unit: windows(w) for unit, w in weights.items()}
-    most = max(map(max, sums.values()), default=0)
-    if not most:
+    weights = {unit: [got[i][1] + (unit > 0) for i in at] for unit, at in units.items()}
+    most = max((sum(w[i:i + window]) for w in weights.values() for i in range(len(w))), default=0)
+    if not any(weight for _, weight, _ in got):
         return ""
-    level = min(surge, most * 0.3)
-    kept: list[int] = []
-    for unit, at in units.items():
-        w, s = weights[unit], sums[unit]
-        if unit and max(s) >= level:
-            w = [max(x, surge) for x in w]
-            s = windows(w)
-        n, i = len(at), 0
-        while i < n:
-            if s[i] > 0 and s[i] >= level:  # a surge
-                j = i
-                while j < n and s[j] > 0:
-                    j += 1
-                # the dive: the first window without any text; the surge: the first line with text
-                while not w[i]:
-                    i += 1
-                kept += at[i:j]
-                i = j
-            else:
-                i += 1
+    kept = [at[k] for unit, at in units.items() for i, j in between(weights[unit], min(surge, most), window) for k in range(i, j)]
     return " ".join(got[i][0] for i in sorted(kept))
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from glacis.llm import covertree, langid, toxicity
+from glacis.llm import covertree, html, langid, toxicity
 from glacis.llm.bpe import encode_decode
 from glacis.llm.chat import conversations
 from glacis.llm.common import components
@@ -155,6 +155,35 @@ def test_html_distribution():
     assert main_text(f"<article>{body}</article><div>{long}</div>") == f"{want} {long}"
 
 
+def test_html_windows():
+    """Surge and dive points against their definition, on random weights."""
+    rng = np.random.default_rng(8)
+    for _ in range(400):
+        w = [int(x) for x in rng.choice([0, 0, 0, 5, 40, 120], rng.integers(0, 25))]
+        window, level = int(rng.integers(1, 5)), int(rng.choice([1, 30, 86, 200]))
+        total = lambda i: sum(w[k] for k in range(i, i + window) if k < len(w))
+        keep = set()
+        for i in range(len(w)):  # a line is kept if no zero window lies between it and a surge
+            for j in range(len(w)):
+                if total(j) >= level and all(total(k) > 0 for k in range(min(i, j), max(i, j) + 1)):
+                    keep.add(i)
+        got = html.between(w, level, window)
+        text = lambda lines: {i for i in lines if w[i]}
+        assert text(k for i, j in got for k in range(i, j)) == text(keep) and all(w[i] for i, _ in got)
+
+
+def test_html_without_names():
+    """No article, main or telling names: the windows remove what no list of words can."""
+    story = [f"Paragraph {i} of the story, which is told in plain blocks and goes on for a while." for i in range(6)]
+    links = lambda k: "".join(f"<div class=q{k}><a href=/{i}>Link {i} of {k}</a></div>" for i in range(6))
+    body = f"<div class=x1><h1>A title</h1><p>By Ann.</p>{''.join(f'<p>{s}</p>' for s in story)}<p>End.</p></div>"
+    want = " ".join(["A title By Ann.", *story, "End."])
+    for page in (f"<div>Brand</div>{links(1)}{body}{links(2)}<div>Terms and so on</div>", f"{links(1)}{body}{links(2)}<p>Call us.</p>{links(3)}<p>Bye.</p>", f"<p>Hello.</p>{links(4)}{body}"):
+        assert main_text(page) == want
+    for tag in ("article", "main", "section", "td"):  # the tag only weighs
+        assert main_text(f"<body>{links(1)}<{tag}>{body}</{tag}>{links(2)}") == want
+
+
 def test_html_furniture():
     story = "".join(f"<p>Paragraph {i} of the story, which goes on for quite a while and then ends.</p>" for i in range(8))
     told = main_text(story)
@@ -178,6 +207,11 @@ def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article>x</article>"), (2, None, None), (None, "v", "")], "page_id long, url string, html string")
     got = {(r["page_id"], r["url"]): (r["text"], r["n_chars"]) for r in extract(pages).collect()}
     assert got == {(1, "u"): ("x", 1), (2, None): ("", 0), (None, "v"): ("", 0)}
+    long = "word " * 40_000
+    rows = [(1, "u", f"<p>{long}</p>", "text", 0), (1, "u", f"<p>{long}</p>", "text", 0), (2, "u", "<p>" * 20_000, "id", 1), (3, "u", "<a " * 20_000, "id", 1)]
+    odd = spark.createDataFrame(rows, "page_id long, url string, html string, text string, id int")  # names of ours, repeated rows, long pages
+    assert sorted((r["page_id"], r["n_chars"]) for r in extract(odd).collect())[:3] == [(1, len(long) - 1), (1, len(long) - 1), (2, 0)]
+    assert extract(odd.limit(0)).count() == 0
 
 
 def test_exact_dedup(spark):
