@@ -7,11 +7,12 @@ fragment, so that equal segments name the candidates. Each candidate pair's over
 counted in coarse fragments of the order separately and summed.
 
 Components are what the join is for, so a bucket of equal segments first compares its
-members with one hub, the member that shares most segments. Only where that leaves
-more than one component in a bucket are its other pairs compared too, those
-across components that their lengths, their distances to the hub (the Jaccard distance is
-a metric) and the numbers of elements in which they alone differ from the hub do not rule out.
-No link between components is lost that way.
+members with one hub, the member that shares most segments. Where that leaves more than
+one component in a bucket, its members are named anew, by what they differ from the hub in: two
+sets that are linked differ from the hub in much the same elements, so they share one of the
+first few of these in an order that puts elements beside the hub's, and rare ones, first. Those names make new
+buckets, each with a hub of its own, and so on; no link between components is lost that way. What is still open
+after ``DEEP`` rounds is compared pair by pair, as far as sizes and distances to the hub (a metric) allow.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ FREQUENT, FREQUENT_LEAST = 3.0, 48
 #: Fragments that overlaps are counted in.
 COARSE = 4
 RATIO = 1.5
+#: Rounds of new names for buckets that hold several components.
+DEEP = 3
 
 
 class Classes:
@@ -121,47 +124,67 @@ def _distances(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("common"))
 
 
-def _may_link(na: str, nb: str, ua: str, ub: str, sa: str, sb: str, percent: int) -> str:
-    """What two sets near one hub must meet to be linked. Of the elements in which a set differs from the hub, ``u`` are its own
-    and ``s`` are met in other sets too; two sets differ in u + u + |s - s| elements at least."""
-    return f"({ua} + {ub} + abs({sa} - {sb})) * (100 + {percent}) <= (100 - {percent}) * ({na} + {nb})"
+def _renamed(rest: DataFrame, unique: DataFrame, common, percent: int) -> DataFrame:
+    """Members (key, node, n, shared) of new buckets for ``rest`` (hub, node, n, component).
 
+    Of two linked sets of different components one at least isn't linked with the hub. Let A and B be what they differ from
+    it in: then A and B share len(A) - t elements at least, t being the most in which linked sets of such sizes differ,
+    and one at least; so each names itself by its first t + 1.
+    """
+    hub = unique.select(F.col("node").alias("hub"), F.col("hashes").alias("ha"))
+    node = unique.select("node", F.col("hashes").alias("hb"))
 
-def _differences(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """(hub, node, own, met): how many elements in which a node differs from its hub no other node of the hub
-    differs in, and how many others do too."""
-    left = whole.select(F.col("node").alias("hub"), "fragment", F.col("hashes").alias("ha"))
-    right = whole.select("node", "fragment", F.col("hashes").alias("hb"))
-    cut = pairs.withColumn("fragment", F.explode(F.array(*[F.lit(i) for i in range(COARSE)])))
-    both = cut.join(left, ["hub", "fragment"]).join(right, ["node", "fragment"])
-    each = stored(both.select("hub", "node", F.explode(F.concat(F.array_except("ha", "hb"), F.array_except("hb", "ha"))).alias("element")), "elements")
-    alone = each.groupBy("hub", "element").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1")
-    own = stored(alone.groupBy("hub", "node").agg(F.count("*").alias("own")), "own")
-    total = stored(each.groupBy("hub", "node").agg(F.count("*").alias("all")), "total")
-    discard(each)
-    return total.join(own, ["hub", "node"], "left").select("hub", "node", F.coalesce("own", F.lit(0)).alias("own"), (F.col("all") - F.coalesce("own", F.lit(0))).alias("met"))
-
-
-def _feasible(rest: DataFrame, by: list[str], condition: str) -> DataFrame:
-    """The members of ``rest`` that ``condition`` lets be linked with some other one of their hub. Kinds, (n, *by), are compared, not
-    members; kinds of one component need no comparing."""
-    kinds = stored(rest.groupBy("hub", "n", *by).agg(F.min("component").alias("x"), F.max("component").alias("y")), "kinds")
-    a = kinds.select("hub", *[F.col(c).alias(f"{c}a") for c in ("n", *by, "x", "y")])
-    b = kinds.select("hub", *[F.col(c).alias(f"{c}b") for c in ("n", *by, "x", "y")])
-    fine = a.join(b, "hub").where(F.expr(condition) & F.expr("not (xa = ya and xb = yb and xa = xb)"))
-    fine = stored(fine.select("hub", *[F.col(f"{c}a").alias(c) for c in ("n", *by)]).distinct(), "kinds")
-    return rest.join(fine, ["hub", "n", *by], "left_semi")
-
-
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    def name(batches):
+        often = np.unpackbits(common.value[0]).astype(bool)
+        for batch in batches:
+            keys, nodes, sizes, parts = [], [], [], []
+            hubs, node, n, component = (batch.column(k).to_numpy() for k in range(4))
+            sets_ = [batch.column(k) for k in (4, 5)]
+            for i in range(len(hubs)):
+                a, b = (c[i].values.to_numpy().view(np.uint64) for c in sets_)
+                more, less = np.setdiff1d(b, a, True), np.setdiff1d(a, b, True)
+                late = often[(more >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                most = (100 - percent) * (n[i] + 100 * n[i] // percent) // (100 + percent) + 1
+                first = np.concatenate([more[~late], more[late], less])[:most]
+                keys.append(mix(first + mix(hubs[i:i + 1].view(np.uint64), 30), 32))
+                nodes.append(np.full(len(first), node[i]))
+                sizes.append(np.full(len(first), n[i]))
+                parts.append(np.full(len(first), component[i]))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), *[pa.array(np.concatenate(x)) for x in (nodes, sizes, parts)]], ["key", "node", "n", "component"])
+
+    both = rest.join(hub, "hub").join(node, "node").select("hub", "node", "n", "component", "ha", "hb")
+    named = stored(both.mapInArrow(name, "key long, node long, n long, component long"), "named")
+    several = stored(named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key"), "several")
+    members = stored(named.join(several, "key").select("key", "node", "n").distinct(), "members")
+    shared = stored(members.groupBy("node").agg(F.count("*").alias("shared")), "shared")
+    out = stored(members.join(shared, "node"), "members")
+    discard(named, several, members, shared)
+    return out
+
+
+def _pair_by_pair(rest: DataFrame, known: DataFrame, whole: DataFrame, percent: int, test) -> DataFrame:
+    """Links (a, b) between the components that ``rest`` (hub, node, n, component) has around one hub."""
+    dist = known.select(F.col("a").alias("hub"), F.col("b").alias("node"), "distance").union(known.select("b", "a", "distance"))
+    rest = stored(rest.join(dist, ["hub", "node"]), "rest")
+    main = stored(rest.groupBy("hub", "component").count().groupBy("hub").agg(F.max(F.struct("count", "component")).alias("m")).select("hub", F.col("m.component").alias("main")), "main")
+    x = stored(rest.join(main, "hub").where("component <> main").select("hub", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("distance").alias("da")), "strays")
+    y = rest.select("hub", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("distance").alias("db"))
+    near = (100 - percent) / 100 + 1e-9
+    more = x.join(y, "hub").where((F.col("ca") != F.col("cb")) & F.expr(f"least(na, nb) * 100 >= greatest(na, nb) * {percent}") & (F.abs(F.col("da") - F.col("db")) <= near))
+    return _distances(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), whole).where(test).select("a", "b")
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, deep: int = DEEP, name_bits: int = 64) -> DataFrame:
     """(key, n_shingles, component_id) for every row.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of fewer than ``words``
     words is one shingle, one without words has an empty set and is linked with nothing
     (null counts as empty). Sets are linked when 100 * common >= percent * union. The
     component is the smallest key reachable. Rows of one key are one document; rows with a
-    null key are linked with nothing and have a null component. Shingles are compared by
-    64-bit hashes. Only ``key`` and ``text`` are read; an empty table gives no rows.
+    null key are linked with nothing and have a null component. Texts are read whole, however long. Shingles are compared by
+    64-bit hashes; sets are named by ``name_bits`` bits, and by 64 more where different sets have one
+    name. Only ``key`` and ``text`` are read, whatever the names of others; an empty table gives no rows.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
@@ -172,19 +195,37 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def measure(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        names = ["id", "n", "node", "check", "slot", "counts"]
         for part, texts in blocks(batches, 1, BLOCK_CHARS):
             hashes, offsets = sets(texts, words)
             counts += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
             n = np.diff(offsets)
+            node, check = identity(hashes, offsets, name_bits)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n), pa.array(_signed(identity(hashes, offsets))), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], ["id", "n", "node", "slot", "counts"])
+                [part.column(0), pa.array(n), pa.array(_signed(node)), pa.array(_signed(check)), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
         if counts.any():
+            none = pa.nulls(slots, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(slots, id_type), pa.nulls(slots, pa.int64()), pa.nulls(slots, pa.int64()), pa.array(range(slots), pa.int32()),
-                 pa.array([c.tobytes() for c in np.split(counts, slots)], pa.binary())], ["id", "n", "node", "slot", "counts"])
-
-    measured = stored(source.mapInArrow(measure, f"id {kind}, n long, node long, slot int, counts binary"), "sets")
-    table = measured.where("slot is null").select("id", "n", "node")
+                [pa.nulls(slots, id_type), none, none, none, pa.array(range(slots), pa.int32()), pa.array([c.tobytes() for c in np.split(counts, slots)], pa.binary())], names)
+
+    measured = stored(source.mapInArrow(measure, f"id {kind}, n long, node long, check long, slot int, counts binary"), "sets")
+    table = measured.where("slot is null").select("id", "n", "node", "check")
+    # names that different sets share: next to none of 64 bits
+    shared_names = {r["node"] for r in table.groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a < b").select("node").toLocalIterator()}
+    twice = np.array(sorted(shared_names), np.int64).view(np.uint64)
+
+    def told(hashes, offsets):
+        node, check = identity(hashes, offsets, name_bits)
+        return np.where(np.isin(node, twice), mix(node + check, 28), node) if len(twice) else node
+
+    if len(twice):  # the same in the table
+        def rename(batches):
+            for batch in batches:
+                node, check = (batch.column(k).to_numpy().view(np.uint64) for k in (2, 3))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_signed(np.where(np.isin(node, twice), mix(node + check, 28), node)))], ["id", "n", "node"])
+
+        table = stored(table.mapInArrow(rename, f"id {kind}, n long, node long"), "renamed")
+    table = table.select("id", "n", "node")
     sketch = _sketch(measured.where("slot is not null").select("slot", "counts", F.pmod(F.spark_partition_id(), F.lit(8)).alias("part")))
     limit = max(FREQUENT_LEAST, FREQUENT * sketch.mean())
     top = table.agg(F.max("n")).first()[0] or 1
@@ -195,7 +236,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         often, classes = common.value
         often = np.unpackbits(often).astype(bool)
         hashes, offsets = sets(texts, words)
-        nodes = identity(hashes, offsets)
+        nodes = told(hashes, offsets)
         late = often[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
         for i in range(len(texts)):
             a, b = offsets[i], offsets[i + 1]
@@ -235,7 +276,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         held, bits = wanted.value
         for _, texts in blocks(batches, 0, BLOCK_CHARS):
             hashes, offsets = sets(texts, words)
-            own = identity(hashes, offsets)
+            own = told(hashes, offsets)
             hit = np.flatnonzero(among(held, bits, own) & (np.diff(offsets) > 0))
             if len(hit):
                 yield pa.RecordBatch.from_arrays(
@@ -245,48 +286,38 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     first = stored(sets_.select("node", "row").join(nodes.select("node"), "node").groupBy("node").agg(F.min("row").alias("row")).select("row"), "first")
     unique = sets_.join(first, "row", "left_semi").drop("row")
     cut = F.expr(f"transform(sequence(0, {COARSE - 1}), f -> struct(f as fragment, filter(hashes, h -> shiftrightunsigned(h, 32) * {COARSE} div 4294967296L = f) as hashes))")
-    whole = stored(unique.select("node", F.size("hashes").cast("long").alias("n"), F.explode(cut).alias("s")).select("node", "n", "s.fragment", "s.hashes"), "fragments")
+    unique = stored(unique, "unique")
     discard(sets_)
+    whole = unique.select("node", F.size("hashes").cast("long").alias("n"), F.explode(cut).alias("s")).select("node", "n", "s.fragment", "s.hashes")
 
-    hubs = (members.groupBy("key").agg(F.max(F.struct(F.col("shared") / F.col("n"), F.col("node"))).alias("m"), F.count("*").alias("size"))
-            .where("size > 1").select("key", F.col("m.node").alias("hub")))
-    hubs = stored(hubs, "hubs")
-    starred = members.join(hubs, "key").where("node <> hub")
-    pairs = starred.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    test = F.expr(f"100 * common >= {percent} * (na + nb - common)")
-    known = stored(_distances(pairs, whole).withColumn("linked", test).withColumn("distance", 1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))), "distances")
-    links = known.where("linked").select("a", "b")
-    # documents that appear with several sets
     ids = table.where("id is not null and n > 0")
+    # documents that appear with several sets
     double = ids.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("id", "a")
-    links = stored(links.union(ids.join(stored(double, "double"), "id").select("a", F.col("node").alias("b")).where("a <> b").distinct()), "links")
-    groups = stored(components(links), "groups")
-
-    # buckets that still hold more than one component
-    placed = stored(members.join(groups, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")), "placed")
-    open_ = placed.join(hubs, "key").where("node <> hub").groupBy("key", "hub").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key", "hub")
-    open_ = stored(open_, "open")
-    if open_.limit(1).count():
-        dist = known.select("a", "b", "distance")
-        dist = stored(dist.union(dist.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).select(F.col("a").alias("hub"), F.col("b").alias("node"), "distance"), "distances")
-        # from here on by hub: sets that share no segment can't be linked, but one row a hub and set is less than one a segment
-        rest = placed.join(open_, "key").where("node <> hub").select("hub", "node", "n", "component").distinct().join(dist, ["hub", "node"])
-        rest = stored(rest.withColumn("step", F.floor(F.col("distance") * 100).cast("int")), "rest")
-        alike = f"least(na, nb) * 100 >= greatest(na, nb) * {percent} and abs(ka - kb) <= {100 - percent} + 1"
-        near_ = stored(_feasible(rest, ["step"], alike.replace("ka", "stepa").replace("kb", "stepb")), "rest")
-        rest = stored(near_.join(stored(_differences(near_.select("hub", "node"), whole), "differences"), ["hub", "node"]), "rest")
-        differ = f"least(na, nb) * 100 >= greatest(na, nb) * {percent} and {_may_link('na', 'nb', 'owna', 'ownb', 'meta', 'metb', percent)}"
-        rest = stored(_feasible(rest, ["own", "met"], differ), "rest")
-        main = stored(rest.groupBy("hub", "component").count().groupBy("hub").agg(F.max(F.struct("count", "component")).alias("m")).select("hub", F.col("m.component").alias("main")), "main")
-        x = rest.join(main, "hub").where("component <> main").select("hub", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("distance").alias("da"), F.col("own").alias("owna"), F.col("met").alias("meta"))
-        x = stored(x, "strays")
-        y = rest.select("hub", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("distance").alias("db"), F.col("own").alias("ownb"), F.col("met").alias("metb"))
-        near = (100 - percent) / 100 + 1e-9
-        more = x.join(y, "hub").where((F.col("ca") != F.col("cb")) & F.expr(differ) & (F.abs(F.col("da") - F.col("db")) <= near))
-        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        late = _distances(more, whole).where(test).select("a", "b")
-        links = stored(links.union(late), "links")
+    links = stored(ids.join(stored(double, "double"), "id").select("a", F.col("node").alias("b")).where("a <> b").distinct(), "links")
+    test = F.expr(f"100 * common >= {percent} * (na + nb - common)")
+    for step in range(deep + 1):
+        hubs = (members.groupBy("key").agg(F.max(F.struct(F.col("shared") / F.col("n"), F.col("node"))).alias("m"), F.count("*").alias("size"))
+                .where("size > 1").select("key", F.col("m.node").alias("hub")))
+        hubs = stored(hubs, "hubs")
+        starred = members.join(hubs, "key").where("node <> hub")
+        pairs = starred.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        known = stored(_distances(pairs, whole).withColumn("linked", test).withColumn("distance", 1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))), "distances")
+        before, links = links, stored(links.union(known.where("linked").select("a", "b")), "links")
+        discard(before)
         groups = stored(components(links), "groups")
+        # buckets that still hold more than one component
+        placed = stored(members.join(groups, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")), "placed")
+        open_ = placed.join(hubs, "key").where("node <> hub").groupBy("key", "hub").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key", "hub")
+        rest = stored(placed.join(open_, "key").where("node <> hub").select("hub", "node", "n", "component").distinct(), "rest")
+        discard(members, placed, hubs)
+        if not rest.limit(1).count():
+            break
+        if step == deep:
+            links = stored(links.union(_pair_by_pair(rest, known, whole, percent, test)), "links")
+            groups = stored(components(links), "groups")
+            break
+        members = _renamed(rest, unique, common, percent)
+        discard(rest, known)
 
     least = stored(ids.groupBy("node").agg(F.min("id").alias("least")), "least")
     grouped = stored(groups.join(least, "node").select("node", "component", "least"), "groups")

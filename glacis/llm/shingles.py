@@ -78,10 +78,11 @@ def sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), offsets
 
 
-def identity(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit number for each set, equal for equal sets."""
+def identity(hashes: np.ndarray, offsets: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers for each set, equal for equal sets: a name, of which ``bits`` are used, and a check."""
     total = np.zeros((2, len(hashes) + 1), np.uint64)
     np.cumsum(mix(hashes, 6), out=total[0, 1:])
     np.cumsum(mix(hashes, 8), out=total[1, 1:])
     a, b = (t[offsets[1:]] - t[offsets[:-1]] for t in total)
-    return mix(a + mix(b, 20) + np.diff(offsets).astype(np.uint64) * ROUND[30], 22)
+    n = np.diff(offsets).astype(np.uint64)
+    return mix(a + mix(b, 20) + n * ROUND[30], 22) >> np.uint64(64 - bits), mix(b + mix(a, 24) + n * ROUND[31], 26)

@@ -255,8 +255,22 @@ def shingles(text, size):
     return {tuple(w[i:i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("size,percent", [(3, 90), (5, 80)])
-def test_jaccard(spark, size, percent):
+def jaccard_brute(rows, size, percent):
+    own = {i: shingles(t, size) for i, t in rows if i is not None}
+    links = [(a, b) for a in own for b in own if a < b and own[a] and own[b] and 100 * len(own[a] & own[b]) >= percent * len(own[a] | own[b])]
+    return own, union_find(own, links)
+
+
+def jaccard_agrees(spark, rows, size, percent, **how):
+    got = jaccard_components(documents(spark, rows), words=size, percent=percent, **how).toPandas()
+    own, want = jaccard_brute(rows, size, percent)
+    named = got.dropna(subset=["doc_id"]).set_index("doc_id")
+    assert len(got) == len(rows) and {int(i): int(c) for i, c in named["component_id"].items()} == want
+    assert {int(i): n for i, n in named["n_shingles"].items()} == {i: len(s) for i, s in own.items()}
+
+
+@pytest.mark.parametrize("size,percent,bits", [(3, 90, 64), (5, 80, 4)])
+def test_jaccard(spark, size, percent, bits):
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("abcd"), 3))
     rows, n = [], 0
@@ -269,17 +283,29 @@ def test_jaccard(spark, size, percent):
                     w[rng.integers(len(w))] = word()
                 rows.append((n, " ".join(w).upper() if k == 4 else " ".join(w)))
                 n += 1
-    rows += [(900, None), (901, " \n"), (902, "one"), (903, "ONE"), (None, "one"), (904, "solo text")]
-    got = jaccard_components(documents(spark, rows), words=size, percent=percent).toPandas()
-    own = {i: shingles(t, size) for i, t in rows if i is not None}
-    links = [(a, b) for a in own for b in own if a < b and own[a] and own[b] and 100 * len(own[a] & own[b]) >= percent * len(own[a] | own[b])]
-    want = union_find(own, links)
-    named = got.dropna(subset=["doc_id"]).set_index("doc_id")
-    assert len(got) == len(rows) and {int(i): int(c) for i, c in named["component_id"].items()} == want
-    assert {int(i): n for i, n in named["n_shingles"].items()} == {i: len(s) for i, s in own.items()}
+    rows += [(900, None), (901, " \n"), (902, "one"), (903, "ONE"), (None, "one"), (904, "solo text"), (905, "long " * 20000), (906, "LONG " * 20000)]
+    jaccard_agrees(spark, rows, size, percent, name_bits=bits)  # few bits: names that different sets share
     assert jaccard_components(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("deep", [0, 1, 3])
+def test_jaccard_of_shared_passages(spark, deep):
+    """Texts that share a passage but are no copies, with small groups of copies among them: buckets of many components."""
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(3000)]
+    passages = [list(rng.choice(words, 60)) for _ in range(2)]
+    rows = []
+    for group in range(30):
+        own = [*rng.choice(words, 12), *passages[group % 2], *rng.choice(words, 12)]
+        for _ in range(3):
+            w = list(own)
+            for _ in range(int(rng.integers(0, 3))):
+                w[int(rng.integers(len(w)))] = str(rng.choice(words))
+            rows.append((len(rows), " ".join(w)))
+    order = rng.permutation(len(rows)).tolist()
+    jaccard_agrees(spark, [(order[i], t) for i, t in rows], 5, 80, deep=deep)
+
+
 def test_chat_links_quotes(spark):
     rows = [(1, 0, "user", "How are you?\nTell me."), (1, 1, "assistant", "Fine, thanks."), (1, 2, "user", "On Monday, X wrote:\n> how ARE you\n\nI asked first."), (1, 3, "assistant", ">> How are you?\n> Fine, thanks.\nGood."),
             (2, 0, None, None), (2, 1, "user", "> unknown\n"), (None, 0, "user", "a"), (None, 0, "user", "a"), (3, None, "user", "z"), (3, 0, "user", "y")]
