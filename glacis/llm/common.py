@@ -34,8 +34,8 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 #: Tables in the shared folder that are still there, in the order of their making.
 _LIVE: dict[str, None] = {}
-#: Spark deletes the shuffle files of an action as it ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What holds while a table is written: Spark deletes the action's shuffle files as it ends, and hands rows to Python in small batches.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
@@ -43,12 +43,14 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     and a lost executor costs only the tasks that were running on it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/glacis-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if not _LIVE:
         atexit.register(lambda: [_drop(spark, p) for p in _LIVE])
     _LIVE[path] = None

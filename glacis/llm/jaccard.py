@@ -8,11 +8,11 @@ counted in coarse fragments of the order separately and summed.
 
 Components are what the join is for, so a bucket of equal segments first compares its
 members with one hub, the member that shares most segments. Where that leaves more than
-one component in a bucket, its members are named anew, by what they differ from the hub in: two
+one component, and not just a few members, around a hub, those are named anew, by what they differ from the hub in: two
 sets that are linked differ from the hub in much the same elements, so they share one of the
 first few of these in an order that puts elements beside the hub's, and rare ones, first. Those names make new
 buckets, each with a hub of its own, and so on; no link between components is lost that way. What is still open
-after ``DEEP`` rounds is compared pair by pair, as far as sizes and distances to the hub (a metric) allow.
+after ``DEEP`` rounds, and groups of a few members, are compared pair by pair. Pairs that sizes and parities of their elements rule out aren't counted.
 """
 
 from __future__ import annotations
@@ -40,7 +40,9 @@ FREQUENT, FREQUENT_LEAST = 3.0, 48
 COARSE = 4
 RATIO = 1.5
 #: Rounds of new names for buckets that hold several components.
-DEEP = 3
+DEEP = 2
+#: Members that are compared pair by pair at once.
+FEW = 64
 
 
 class Classes:
@@ -114,65 +116,100 @@ def _sketch(table: DataFrame) -> np.ndarray:
     return out
 
 
-def _distances(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """Overlap of each pair (a, b): counted by fragment, then summed. ``whole``: (node, fragment, n, hashes)."""
+def parities(own: np.ndarray) -> bytes:
+    """A bit map of the parity of a set's elements by their last bits, of 2 to 4 bits an element. The bits in which two
+    such maps differ are no more than the elements in which the sets do."""
+    bits = 1 << max(6, int(2 * len(own) - 1).bit_length())
+    return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """In how many elements two sets of these parities differ at least; the longer map is folded to the length of the other."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _near(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) that sizes and parities, of ``marks`` (node, n, parity), don't rule out."""
+
+    def run(batches):
+        for batch in batches:
+            (na, nb), sides = (batch.column(k).to_numpy() for k in (2, 3)), (batch.column(k).to_pylist() for k in (4, 5))
+            most = (100 - percent) * (na + nb) // (100 + percent)
+            fine = np.array([apart(x, y) <= m for x, y, m in zip(*sides, most.tolist())], bool)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(fine)) for k in (0, 1)], ["a", "b"])
+
+    left, right = (marks.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}")) for k in "ab")
+    both = pairs.join(left, "a").join(right, "b").where(f"least(na, nb) * 100 >= greatest(na, nb) * {percent}")
+    return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
+
+
+def _links(pairs: DataFrame, marks: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of ``pairs`` (a, b): overlaps are counted by fragment, then summed. ``whole``: (node, fragment, n, hashes)."""
     left = whole.select(F.col("node").alias("a"), "fragment", F.col("n").alias("na"), F.col("hashes").alias("ha"))
     right = whole.select(F.col("node").alias("b"), "fragment", F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-    cut = pairs.withColumn("fragment", F.explode(F.array(*[F.lit(i) for i in range(COARSE)])))
+    near = stored(_near(pairs, marks, percent), "near")
+    cut = near.withColumn("fragment", F.explode(F.array(*[F.lit(i) for i in range(COARSE)])))
     both = cut.join(left, ["a", "fragment"]).join(right, ["b", "fragment"])
     partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).cast("long").alias("part"))
-    return partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("common"))
+    summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("common"))
+    return summed.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
 
 
-def _renamed(rest: DataFrame, unique: DataFrame, common, percent: int) -> DataFrame:
+def _renamed(rest: DataFrame, whole: DataFrame, common, percent: int, together: int = 256) -> DataFrame:
     """Members (key, node, n, shared) of new buckets for ``rest`` (hub, node, n, component).
 
     Of two linked sets of different components one at least isn't linked with the hub. Let A and B be what they differ from
     it in: then A and B share len(A) - t elements at least, t being the most in which linked sets of such sizes differ,
-    and one at least; so each names itself by its first t + 1.
+    and one at least; so each names itself by its first t + 1. About ``together`` members meet their hub in a task.
     """
-    hub = unique.select(F.col("node").alias("hub"), F.col("hashes").alias("ha"))
-    node = unique.select("node", F.col("hashes").alias("hb"))
+    ways = stored(rest.groupBy("hub").agg(F.ceil(F.count("*") / together).cast("int").alias("ways")), "ways")
+    left = rest.join(ways, "hub").withColumn("part", F.pmod(F.xxhash64("node"), "ways").cast("int")).join(whole.select("node", "fragment", "hashes"), "node").select("hub", "part", "node", "n", "component", "fragment", "hashes")
+    right = ways.join(whole.select(F.col("node").alias("hub"), F.col("fragment").alias("of"), F.col("hashes").alias("of_hub")), "hub")
+    right = right.select(F.col("hub").alias("h"), F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("p"), "of", "of_hub")
 
-    def name(batches):
+    def name(members: pa.Table, hubs: pa.Table) -> pa.Table:
         often = np.unpackbits(common.value[0]).astype(bool)
-        for batch in batches:
-            keys, nodes, sizes, parts = [], [], [], []
-            hubs, node, n, component = (batch.column(k).to_numpy() for k in range(4))
-            sets_ = [batch.column(k) for k in (4, 5)]
-            for i in range(len(hubs)):
-                a, b = (c[i].values.to_numpy().view(np.uint64) for c in sets_)
-                more, less = np.setdiff1d(b, a, True), np.setdiff1d(a, b, True)
+        keys, nodes, sizes, parts = [], [], [], []
+        if len(members) and len(hubs):
+            held = {f: h.values.to_numpy().view(np.uint64) for f, h in zip(hubs.column("of").to_pylist(), hubs.column("of_hub"))}
+            salt = mix(hubs.column("h").to_numpy()[:1].view(np.uint64), 30)
+            node, n, component, fragment = (members.column(k).to_numpy() for k in ("node", "n", "component", "fragment"))
+            order = np.lexsort((fragment, node))
+            for own in np.split(order, np.flatnonzero(np.diff(node[order])) + 1):
+                more, less = [], []
+                for i in own.tolist():
+                    b, a = members.column("hashes")[i].values.to_numpy().view(np.uint64), held[int(fragment[i])]
+                    more.append(np.setdiff1d(b, a, True))
+                    less.append(np.setdiff1d(a, b, True))
+                more, i = np.concatenate(more), own[0]
                 late = often[(more >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 most = (100 - percent) * (n[i] + 100 * n[i] // percent) // (100 + percent) + 1
-                first = np.concatenate([more[~late], more[late], less])[:most]
-                keys.append(mix(first + mix(hubs[i:i + 1].view(np.uint64), 30), 32))
-                nodes.append(np.full(len(first), node[i]))
-                sizes.append(np.full(len(first), n[i]))
-                parts.append(np.full(len(first), component[i]))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), *[pa.array(np.concatenate(x)) for x in (nodes, sizes, parts)]], ["key", "node", "n", "component"])
-
-    both = rest.join(hub, "hub").join(node, "node").select("hub", "node", "n", "component", "ha", "hb")
-    named = stored(both.mapInArrow(name, "key long, node long, n long, component long"), "named")
+                first = np.concatenate([more[~late], more[late], *less])[:most]
+                keys.append(mix(first + salt, 32))
+                for out, value in ((nodes, node[i]), (sizes, n[i]), (parts, component[i])):
+                    out.append(np.full(len(first), value))
+        none = np.zeros(0, np.int64)
+        return pa.table({"key": _signed(np.concatenate([none.view(np.uint64), *keys])), **{k: np.concatenate([none, *x]) for k, x in (("node", nodes), ("n", sizes), ("component", parts))}})
+
+    named = stored(left.groupBy("hub", "part").cogroup(right.groupBy("h", "p")).applyInArrow(name, "key long, node long, n long, component long"), "named")
     several = stored(named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key"), "several")
     members = stored(named.join(several, "key").select("key", "node", "n").distinct(), "members")
     shared = stored(members.groupBy("node").agg(F.count("*").alias("shared")), "shared")
     out = stored(members.join(shared, "node"), "members")
-    discard(named, several, members, shared)
+    discard(ways, named, several, members, shared)
     return out
 
 
-def _pair_by_pair(rest: DataFrame, known: DataFrame, whole: DataFrame, percent: int, test) -> DataFrame:
-    """Links (a, b) between the components that ``rest`` (hub, node, n, component) has around one hub."""
-    dist = known.select(F.col("a").alias("hub"), F.col("b").alias("node"), "distance").union(known.select("b", "a", "distance"))
-    rest = stored(rest.join(dist, ["hub", "node"]), "rest")
+def _pair_by_pair(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the components that ``rest`` (hub, node, n, component) has around one hub, of sizes that may be linked."""
     main = stored(rest.groupBy("hub", "component").count().groupBy("hub").agg(F.max(F.struct("count", "component")).alias("m")).select("hub", F.col("m.component").alias("main")), "main")
-    x = stored(rest.join(main, "hub").where("component <> main").select("hub", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("distance").alias("da")), "strays")
-    y = rest.select("hub", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("distance").alias("db"))
-    near = (100 - percent) / 100 + 1e-9
-    more = x.join(y, "hub").where((F.col("ca") != F.col("cb")) & F.expr(f"least(na, nb) * 100 >= greatest(na, nb) * {percent}") & (F.abs(F.col("da") - F.col("db")) <= near))
-    return _distances(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), whole).where(test).select("a", "b")
+    x = stored(rest.join(main, "hub").where("component <> main").select("hub", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), "strays")
+    y = rest.select("hub", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    more = x.join(y, "hub").where(f"ca <> cb and least(na, nb) * 100 >= greatest(na, nb) * {percent}")
+    return more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, deep: int = DEEP, name_bits: int = 64) -> DataFrame:
@@ -272,37 +309,42 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     discard(taken, several, plain)
     wanted = spark.sparkContext.broadcast(bitmap(nodes.select(F.col("node").alias("key"))))
 
+    edges = np.arange(1, COARSE, dtype=np.uint64) * np.uint64((1 << 64) // COARSE)
+
     def fetch(batches):
         held, bits = wanted.value
-        for _, texts in blocks(batches, 0, BLOCK_CHARS):
+        for part, texts in blocks(batches, 1, BLOCK_CHARS):
             hashes, offsets = sets(texts, words)
             own = told(hashes, offsets)
             hit = np.flatnonzero(among(held, bits, own) & (np.diff(offsets) > 0))
-            if len(hit):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(own[hit])), pa.array([_signed(hashes[offsets[i]:offsets[i + 1]]) for i in hit], pa.list_(pa.int64()))], ["node", "hashes"])
-
-    sets_ = stored(source.select("text").mapInArrow(fetch, "node long, hashes array<long>").withColumn("row", F.monotonically_increasing_id()), "found")
-    first = stored(sets_.select("node", "row").join(nodes.select("node"), "node").groupBy("node").agg(F.min("row").alias("row")).select("row"), "first")
-    unique = sets_.join(first, "row", "left_semi").drop("row")
-    cut = F.expr(f"transform(sequence(0, {COARSE - 1}), f -> struct(f as fragment, filter(hashes, h -> shiftrightunsigned(h, 32) * {COARSE} div 4294967296L = f) as hashes))")
-    unique = stored(unique, "unique")
+            if not len(hit):
+                continue
+            each = [hashes[offsets[i]:offsets[i + 1]] for i in hit]
+            cut = [f for h in each for f in np.split(_signed(h), np.searchsorted(h, edges))]
+            again = np.repeat(np.arange(len(hit)), COARSE)
+            marks = [parities(h) if k == 0 else None for h in each for k in range(COARSE)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(hit[again])), pa.array(_signed(own[hit])[again]), pa.array(np.diff(offsets)[hit][again]), pa.array(np.tile(np.arange(COARSE, dtype=np.int32), len(hit))),
+                 pa.array(cut, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["row", "node", "n", "fragment", "hashes", "parity"])
+
+    rows = source.select(F.monotonically_increasing_id().alias("row"), "text").mapInArrow(fetch, "row long, node long, n long, fragment int, hashes array<long>, parity binary")
+    sets_ = stored(rows, "found")
+    first = stored(sets_.where("fragment = 0").select("node", "row").join(nodes.select("node"), "node").groupBy("node").agg(F.min("row").alias("row")).select("row"), "first")
+    whole = stored(sets_.join(first, "row", "left_semi").drop("row"), "fragments")
+    marks = stored(whole.where("fragment = 0").select("node", "n", "parity"), "marks")
     discard(sets_)
-    whole = unique.select("node", F.size("hashes").cast("long").alias("n"), F.explode(cut).alias("s")).select("node", "n", "s.fragment", "s.hashes")
 
     ids = table.where("id is not null and n > 0")
     # documents that appear with several sets
     double = ids.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("id", "a")
     links = stored(ids.join(stored(double, "double"), "id").select("a", F.col("node").alias("b")).where("a <> b").distinct(), "links")
-    test = F.expr(f"100 * common >= {percent} * (na + nb - common)")
     for step in range(deep + 1):
         hubs = (members.groupBy("key").agg(F.max(F.struct(F.col("shared") / F.col("n"), F.col("node"))).alias("m"), F.count("*").alias("size"))
                 .where("size > 1").select("key", F.col("m.node").alias("hub")))
         hubs = stored(hubs, "hubs")
         starred = members.join(hubs, "key").where("node <> hub")
         pairs = starred.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        known = stored(_distances(pairs, whole).withColumn("linked", test).withColumn("distance", 1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))), "distances")
-        before, links = links, stored(links.union(known.where("linked").select("a", "b")), "links")
+        before, links = links, stored(links.union(_links(pairs, marks, whole, percent)), "links")
         discard(before)
         groups = stored(components(links), "groups")
         # buckets that still hold more than one component
@@ -312,12 +354,16 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         discard(members, placed, hubs)
         if not rest.limit(1).count():
             break
-        if step == deep:
-            links = stored(links.union(_pair_by_pair(rest, known, whole, percent, test)), "links")
+        # hubs of few members: pair by pair; and after the last round all
+        many = stored(rest.groupBy("hub").count().where(F.col("count") > FEW).select("hub"), "many") if step < deep else rest.where("false").select("hub")
+        before, links = links, stored(links.union(_links(_pair_by_pair(rest.join(many, "hub", "left_anti"), percent), marks, whole, percent)), "links")
+        discard(before)
+        if not many.limit(1).count():
             groups = stored(components(links), "groups")
             break
-        members = _renamed(rest, unique, common, percent)
-        discard(rest, known)
+        members = _renamed(rest.join(many, "hub", "left_semi"), whole, common, percent)
+        discard(rest, many)
+    discard(whole, marks)
 
     least = stored(ids.groupBy("node").agg(F.min("id").alias("least")), "least")
     grouped = stored(groups.join(least, "node").select("node", "component", "least"), "groups")

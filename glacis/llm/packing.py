@@ -25,13 +25,15 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import BLOCK_CHARS, CACHE_CHUNKS, blocks, byte_letters
+from .bpe import blocks, byte_letters
 from .common import stored, text_column
 
 #: The split pattern of byte-level BPE (a fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A space with no white space beside it. What Python takes for white space holds all that the pattern does.
 LONE = re.compile(r"(?<=\S) (?=\S)")
+#: Characters that are encoded together; parts of texts that are kept, after which keeping starts anew.
+BLOCK_CHARS, CACHE_CHUNKS = 1_000_000, 100_000
 #: Letters of a part that is worth keeping.
 LONG = 64
 #: The special token of the vocabulary: where a text holds it, it is one token.

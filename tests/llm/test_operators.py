@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from glacis.llm import covertree, html, langid, toxicity
+from glacis.llm import covertree, html, jaccard, langid, toxicity
 from glacis.llm.bpe import encode_decode
 from glacis.llm.chat import conversations
 from glacis.llm.common import components
@@ -288,6 +288,15 @@ def test_jaccard(spark, size, percent, bits):
     assert jaccard_components(empty(spark)).count() == 0
 
 
+def test_jaccard_parities():
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        every = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+        a, b = (np.unique(rng.choice(every, rng.integers(1, 300))) for _ in range(2))
+        assert jaccard.apart(jaccard.parities(a), jaccard.parities(b)) <= len(np.setxor1d(a, b))
+    assert jaccard.apart(jaccard.parities(a), jaccard.parities(a)) == 0
+
+
 @pytest.mark.parametrize("deep", [0, 1, 3])
 def test_jaccard_of_shared_passages(spark, deep):
     """Texts that share a passage but are no copies, with small groups of copies among them: buckets of many components."""
