@@ -16,25 +16,29 @@ def lit(x) -> Column:
     return F.lit(float(x))
 
 
+def rise(q, model: str, exp, least):
+    """The variogram models from 0 to 1, on distances over the range; names are matched by a part of them, others are spherical.
+
+    Of columns or arrays, as ``exp`` and ``least`` (of a value and 1) are.
+    """
+    name = model.lower()
+    if "exp" in name:
+        return 1.0 - exp(-3.0 * q)
+    if "gauss" in name:
+        return 1.0 - exp(-3.0 * q * q)
+    t = least(q)
+    return t if "lin" in name else 1.5 * t - 0.5 * t * t * t
+
+
 def spherical(h: Column, a, c, c0) -> Column:
     """Spherical variogram with nugget: rises to c0 + c at range a."""
     a, c, c0 = (x if isinstance(x, Column) else lit(x) for x in (a, c, c0))
-    q = h / a
-    return F.when(h > a, c0 + c).otherwise(c0 + c * (lit(1.5) * q - lit(0.5) * q * q * q))
+    return c0 + c * rise(h / a, "spherical", F.exp, lambda q: F.least(q, lit(1)))
 
 
 def semivariance(h: Column, model: str, a: float, sill: float, nugget: float = 0.0) -> Column:
-    """The kriging models, matched by a part of their name; zero at distance zero."""
-    name, q = model.lower(), h / lit(max(a, 1e-6))
-    if "exp" in name:
-        g = lit(nugget) + lit(sill) * (lit(1) - F.exp(lit(-3) * q))
-    elif "gauss" in name:
-        g = lit(nugget) + lit(sill) * (lit(1) - F.exp(lit(-3) * q * q))
-    elif "lin" in name:
-        g = lit(nugget) + lit(sill) * F.least(q, lit(1))
-    else:
-        g = spherical(h, max(a, 1e-6), sill, nugget)
-    return F.when(h == 0, lit(0)).otherwise(g)
+    """The kriging models; zero at distance zero."""
+    return F.when(h == 0, lit(0)).otherwise(lit(nugget) + lit(sill) * rise(h / lit(max(a, 1e-6)), model, F.exp, lambda q: F.least(q, lit(1))))
 
 
 def cosine_taper(distance: Column, width: float) -> Column:
@@ -76,6 +80,11 @@ def uncertainty(variance: Column, inside: Column) -> Column:
     return F.when(inside, F.sqrt(F.greatest(variance, lit(0)))).otherwise(lit(0))
 
 
+def final_thickness(z: Column, bed: Column, inside: Column) -> Column:
+    """Surface less bed, never below zero; 0 outside."""
+    return F.when(inside, F.greatest(z - bed, lit(0))).otherwise(lit(0))
+
+
 def ice_drift(sine: Column) -> Column:
     """Inverse sine of the slope, flat places counting as LEAST_DEGREES."""
     return lit(1) / F.greatest(sine, lit(LEAST_SINE))

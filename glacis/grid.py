@@ -5,6 +5,7 @@ Row 0 is the southernmost row; readers turn north-up rasters over and writers tu
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,9 +98,29 @@ def in_task(spark: SparkSession, run):
     return cloudpickle.loads(bytes(spark.range(1).coalesce(1).mapInPandas(task, "out binary").first()[0]))
 
 
+def crs_name(crs: str) -> str | None:
+    """One name for the forms of a reference system: authority and code, whether written so, as an URN, an
+    address or the last identifier of well-known text; ``CRS84`` is ``OGC:CRS84``. Well-known text without identifiers
+    is known where it names a UTM zone of WGS 84 or ETRS89, or plain WGS 84; else the result is None."""
+    text = " ".join(crs.upper().split())
+    if text.endswith("]"):
+        ids = re.findall(r"(?:AUTHORITY|ID) ?\[ ?\"([A-Z]+)\" ?, ?\"?([0-9]+)\"? ?\]", text)
+        if ids:
+            return ":".join(ids[-1])
+        zone = re.match(r"PROJC[A-Z]*\[ ?\"(WGS|ETRS)[^\"]*?ZONE[ _]([0-9]+)([NS])\"", text)
+        if zone:  # the codes of UTM zones follow from their numbers
+            return f"EPSG:{(25800 if zone[1] == 'ETRS' else 32600 if zone[3] == 'N' else 32700) + int(zone[2])}"
+        return "EPSG:4326" if re.match(r"GEOGC[A-Z]*\[ ?\"(GCS_)?WGS[_ ](19)?84\"", text) else None
+    m = re.fullmatch(r"(?:URN:(?:X-)?OGC:DEF:CRS:|HTTPS?://WWW\.OPENGIS\.NET/DEF/CRS/|)([A-Z]+)[:/](?:[0-9.]*[:/])?([A-Z0-9]+)", text)
+    if m:
+        return "OGC:CRS84" if m[2] in ("CRS84", "84") and m[1] in ("OGC", "CRS") else f"{m[1]}:{m[2]}"
+    return "OGC:CRS84" if text == "CRS84" else text
+
+
 def same_crs(a: str | None, b: str | None) -> None:
     """Raises where both reference systems are known and differ."""
-    if a and b and " ".join(a.upper().split()) != " ".join(b.upper().split()):
+    x, y = (crs_name(k) if k else None for k in (a, b))
+    if x and y and x != y:
         raise ValueError(f"coordinate reference systems differ: {a} and {b}")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import cosine_taper
@@ -69,6 +69,16 @@ def blend_points(points: DataFrame, cells: DataFrame, grid: Grid, width: float |
     return _tapered(cells.select("r", "c", "z", "inside").join(thick, ["r", "c"]), grid, width)
 
 
+def known_bed() -> Column:
+    """Cells that a forest may learn from: inside, with a bed and some thickness."""
+    return F.coalesce(F.col("inside") & F.col("bed").isNotNull() & F.col("z").isNotNull() & (F.col("z") - F.col("bed") > HOLE), F.lit(False))
+
+
+def hole() -> Column:
+    """Cells inside without thickness."""
+    return F.coalesce(F.col("inside") & F.col("z").isNotNull() & (F.col("z") - F.col("bed") <= HOLE), F.lit(False))
+
+
 def fill_holes(cells: DataFrame, grid: Grid, trees: int = 100, depth: int = 15) -> DataFrame:
     """(r, c, z, inside, bed): cells inside without thickness get a forest's prediction from place, elevation and slope, no
     higher than the surface. With fewer than ten cells to learn from nothing is filled."""
@@ -76,13 +86,12 @@ def fill_holes(cells: DataFrame, grid: Grid, trees: int = 100, depth: int = 15)
     from pyspark.ml.regression import RandomForestRegressor
 
     rows = slopes(cells, grid).select("r", "c", "z", "inside", "bed", (F.col("c") * F.lit(grid.dx)).alias("fx"), (F.col("r") * F.lit(grid.dy)).alias("fy"), F.coalesce("slope_rad", F.lit(0.0)).alias("fs"))
-    fine = rows.where(F.col("inside") & F.col("bed").isNotNull() & F.col("z").isNotNull() & (F.col("z") - F.col("bed") > HOLE))
+    fine = rows.where(known_bed())
     if fine.limit(10).count() < 10:
         return cells.select("r", "c", "z", "inside", "bed")
     features = VectorAssembler(inputCols=["fx", "fy", "z", "fs"], outputCol="features", handleInvalid="skip")
     forest = RandomForestRegressor(labelCol="bed", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=42).fit(features.transform(fine))
-    hole = rows.where(F.col("inside") & F.col("z").isNotNull() & (F.col("z") - F.col("bed") <= HOLE))
-    filled = forest.transform(features.transform(hole)).select("r", "c", F.col("prediction").alias("guess"))
+    filled = forest.transform(features.transform(rows.where(hole()))).select("r", "c", F.col("prediction").alias("guess"))
     return rows.join(filled, ["r", "c"], "left").select("r", "c", "z", "inside", F.least(F.coalesce("guess", "bed"), "z").alias("bed"))
 
 

@@ -6,14 +6,14 @@ variance takes the inverse matrix and is only computed when asked for.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ice_drift
+from ..functions.columns import ice_drift, rise
 from ..grid import Grid, in_task
 from .mask import zero_points
 from .sampling import bilinear
@@ -25,17 +25,7 @@ BLOCK = 2000
 
 
 def gamma(h: np.ndarray, model: str, a: float, sill: float, nugget: float = 0.0) -> np.ndarray:
-    name, q = model.lower(), h / max(a, 1e-6)
-    if "exp" in name:
-        g = nugget + sill * (1 - np.exp(-3 * q))
-    elif "gauss" in name:
-        g = nugget + sill * (1 - np.exp(-3 * q**2))
-    elif "lin" in name:
-        g = nugget + sill * np.minimum(q, 1)
-    else:
-        t = np.minimum(q, 1)
-        g = nugget + sill * (1.5 * t - 0.5 * t**3)
-    return np.where(h == 0, 0.0, g)
+    return np.where(h == 0, 0.0, nugget + sill * rise(h / max(a, 1e-6), model, np.exp, lambda q: np.minimum(q, 1)))
 
 
 def powers(x: np.ndarray, y: np.ndarray, kind: str) -> np.ndarray:
@@ -55,7 +45,7 @@ class System:
     x: np.ndarray
     y: np.ndarray
     weights: np.ndarray
-    inverse: np.ndarray
+    inverse: np.ndarray | None
     drift: str
     external: bool
     model: str
@@ -110,7 +100,7 @@ def solve(x, y, z, drift: str = "constant", external=None, model: str = "spheric
 
 def predict(cells: DataFrame, grid: Grid, system: System, centers: bool = False, variance: bool = True, external: str | None = None, legacy_variance: bool = False) -> DataFrame:
     """(r, c, z_hat, var): estimates in blocks of cells; ``var`` is null when not asked for."""
-    shared = cells.sparkSession.sparkContext.broadcast(system)  # MOST bounds it
+    shared = cells.sparkSession.sparkContext.broadcast(system if variance else replace(system, inverse=None))  # MOST bounds it
     place = (grid.x, grid.y) if centers else (grid.edge_x, grid.edge_y)
     at = cells.select("r", "c", place[0](F.col("c")).alias("x"), place[1](F.col("r")).alias("y"), (F.col(external) if external else F.lit(0.0)).alias("u"))
 
@@ -125,6 +115,24 @@ def predict(cells: DataFrame, grid: Grid, system: System, centers: bool = False,
     return at.mapInPandas(run, "r long, c long, z_hat double, var double").withColumn("var", F.nanvl("var", F.lit(None)))
 
 
+def plausible(estimates: DataFrame, values) -> bool:
+    """Whether all estimates are finite and none is far off the samples' values: within their mean and twenty times their
+    span (1 at least), or ten thousand, whichever is wider."""
+    values = np.asarray(values, float)
+    if not len(values):
+        return True
+    mean, span = float(values.mean()), max(float(np.ptp(values)), 1.0)
+    fine = F.coalesce(F.col("z_hat").between(min(mean - 20 * span, -1e4), max(mean + 20 * span, 1e4)), F.lit(False))
+    row = estimates.agg(F.count("*").alias("n"), F.sum(fine.cast("long")).alias("fine")).first()
+    return row["n"] == (row["fine"] or 0)
+
+
+def _checked(draft, values, spare) -> DataFrame:
+    """``draft()`` if plausible, else what ``spare()`` gives, which has no drift to run away with."""
+    got = draft().persist()
+    return got if plausible(got, values) else spare()
+
+
 def drift_column(cells: DataFrame, grid: Grid, sine: str | None = None) -> DataFrame:
     """(r, c, u): the inverse sine of the slope, less its mean, by its deviation. Without ``sine`` the slope is that of ``z``."""
     if sine is None:
@@ -146,7 +154,8 @@ def krige(points: DataFrame, cells: DataFrame, grid: Grid, method: str = "univer
     Methods: ``ordinary``; ``universal`` with the drift of ``drift_terms`` (``quadratic`` unless ``regional_linear`` or
     ``sia_thickness``); ``sia`` with the inverse slope as drift; ``regression``, a forest on (x, y, z) and
     ordinary kriging of what it leaves. The method decides; drift terms only refine ``universal``.
-    Fewer than four samples are kriged without drift; none give zeros. Samples with unknown numbers are left out.
+    Fewer than four samples are kriged without drift; none give zeros. Samples with unknown numbers are left out. Estimates
+    with a drift that aren't plausible are replaced by those of ordinary kriging.
     """
     kind = _method(method)
     if kind not in ("ordinary", "universal", "sia", "regression"):
@@ -164,6 +173,10 @@ def krige(points: DataFrame, cells: DataFrame, grid: Grid, method: str = "univer
     x, y, v = got["x"].to_numpy(), got["y"].to_numpy(), got["val"].to_numpy()
     origin = (grid.bounds[0], grid.bounds[1]) if not centers else (grid.bounds[0] + grid.dx / 2, grid.bounds[1] + grid.dy / 2)
     common = {"centers": centers, "variance": variance, "legacy_variance": legacy_variance}
+
+    def plain():
+        return predict(cells, grid, in_task(cells.sparkSession, lambda: solve(x, y, v, "constant", None, model, origin, parameters)), **common)
+
     if kind == "regression":
         return _regression(got, cells, grid, model, origin, common, parameters)
     if kind == "sia" and len(got) >= 4:
@@ -171,12 +184,13 @@ def krige(points: DataFrame, cells: DataFrame, grid: Grid, method: str = "univer
         spark = cells.sparkSession
         spots = spark.createDataFrame(got.reset_index(names="pid")[["pid", "x", "y"]])
         at = bilinear(spots, u, grid, ["u"]).toPandas().set_index("pid")["u"].reindex(range(len(got))).fillna(0.0).to_numpy(float)
-        system = in_task(spark, lambda: solve(x, y, v, "constant", at, model, origin, parameters))
-        return predict(u, grid, system, external="u", **common)
+        return _checked(lambda: predict(u, grid, in_task(spark, lambda: solve(x, y, v, "constant", at, model, origin, parameters)), external="u", **common), v, plain)
     drift = "constant"
     if kind == "universal" and len(got) >= 4:
         drift = "linear" if "regional_linear" in terms and "quadratic" not in terms else "quadratic"
-    return predict(cells, grid, in_task(cells.sparkSession, lambda: solve(x, y, v, drift, None, model, origin, parameters)), **common)
+    if drift == "constant":
+        return plain()
+    return _checked(lambda: predict(cells, grid, in_task(cells.sparkSession, lambda: solve(x, y, v, drift, None, model, origin, parameters)), **common), v, plain)
 
 
 def _regression(got: pd.DataFrame, cells: DataFrame, grid: Grid, model: str, origin, common: dict, parameters) -> DataFrame:

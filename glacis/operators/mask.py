@@ -11,20 +11,24 @@ from .terrain import along
 
 
 def edges(vertices: DataFrame) -> DataFrame:
-    """(ring_id, x0, y0, x1, y1) of rings given as (ring_id, seq, x, y); rings of fewer than three vertices are left out."""
-    w = Window.partitionBy("ring_id")
+    """(polygon, ring_id, outer, x0, y0, x1, y1) of rings given as ([polygon,] ring_id, seq, x, y); a polygon's first ring is its outer
+    one; rings of fewer than three vertices are left out."""
+    if "polygon" not in vertices.columns:
+        vertices = vertices.withColumn("polygon", F.lit(0))
+    w = Window.partitionBy("polygon", "ring_id")
     ordered = w.orderBy("seq")
+    first = vertices.groupBy("polygon").agg(F.min("ring_id").alias("first"))
     out = vertices.select(
-        "ring_id", F.count("*").over(w).alias("n"), F.col("x").alias("x0"), F.col("y").alias("y0"),
+        "polygon", "ring_id", F.count("*").over(w).alias("n"), F.col("x").alias("x0"), F.col("y").alias("y0"),
         F.coalesce(F.lead("x").over(ordered), F.first("x").over(ordered)).alias("x1"), F.coalesce(F.lead("y").over(ordered), F.first("y").over(ordered)).alias("y1"))
-    return out.where("n >= 3").drop("n")
+    return out.where("n >= 3").join(first, "polygon").withColumn("outer", F.col("ring_id") == F.col("first")).drop("n", "first")
 
 
 def inside(cells: DataFrame, vertices: DataFrame, grid: Grid) -> DataFrame:
-    """``cells`` with ``inside``: in an outer ring (the first, or those flagged by ``outer``) and in no hole.
+    """``cells`` with ``inside``: in the outer ring of a polygon and in none of its holes.
 
     An edge meets only the rows of cells that it crosses, and a cell only the crossings of its row, by an
-    equal join; an odd number to the right is inside.
+    equal join; an odd number to the right is inside. All polygons take one pass.
     """
     top = F.greatest("y0", "y1")
     low = F.least("y0", "y1")
@@ -33,22 +37,11 @@ def inside(cells: DataFrame, vertices: DataFrame, grid: Grid) -> DataFrame:
     last = F.least(F.ceil(row(top)) - 1, F.lit(grid.nrows - 1)).cast("long")
     e = edges(vertices).where("y0 <> y1").withColumns({"a": first, "b": last}).where("a <= b")
     y = grid.y(F.col("r"))
-    crossings = e.withColumn("r", F.explode(F.sequence("a", "b"))).select("ring_id", "r", (F.col("x0") + (y - F.col("y0")) / (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))).alias("cross"))
+    crossings = e.withColumn("r", F.explode(F.sequence("a", "b"))).select("polygon", "ring_id", "outer", "r", (F.col("x0") + (y - F.col("y0")) / (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))).alias("cross"))
     x = grid.x(F.col("c"))
-    hit = cells.select("r", "c").join(crossings, "r").where(F.col("cross") > x).groupBy("r", "c", "ring_id").agg((F.count("*") % 2).alias("odd")).where("odd = 1")
-    outer = vertices.agg(F.min("ring_id")).first()[0]
-    found = hit.groupBy("r", "c").agg(F.max((F.col("ring_id") == outer).cast("int")).alias("o"), F.max((F.col("ring_id") != outer).cast("int")).alias("h"))
-    return cells.join(found, ["r", "c"], "left").withColumn("inside", F.coalesce((F.col("o") == 1) & (F.col("h") == 0), F.lit(False))).drop("o", "h")
-
-
-def ring_ids(vertices: DataFrame, order: str = "seq") -> DataFrame:
-    """Rings of a vertex list that rows without coordinates separate: (ring_id, seq, x, y).
-
-    The list is a single text of outlines, so one ordered pass over it is what it takes.
-    """
-    gap = (F.col("x").isNull() | F.col("y").isNull()).cast("int")
-    w = Window.partitionBy(F.lit(0)).orderBy(order)
-    return vertices.withColumn("ring_id", F.sum(gap).over(w).cast("int")).where("x is not null and y is not null").select("ring_id", F.col(order).alias("seq"), "x", "y")
+    hit = cells.select("r", "c").join(crossings, "r").where(F.col("cross") > x).groupBy("r", "c", "polygon", "ring_id", "outer").agg((F.count("*") % 2).alias("odd")).where("odd = 1")
+    found = hit.groupBy("r", "c", "polygon").agg(F.bool_and("outer").alias("in_")).groupBy("r", "c").agg(F.bool_or("in_").alias("in_"))
+    return cells.join(found, ["r", "c"], "left").withColumn("inside", F.coalesce("in_", F.lit(False))).drop("in_")
 
 
 def _area(ring: np.ndarray) -> float:
@@ -116,12 +109,30 @@ def _down(block: np.ndarray) -> np.ndarray:
 
 
 def _across(block: np.ndarray) -> np.ndarray:
-    """Smallest sum of ``block`` and the squared distance along the line."""
-    n = block.shape[1]
-    at = np.arange(n)
+    """Smallest sum of ``block`` and the squared distance along the line: the lower envelope of a parabola a cell,
+    whose parts are found in one pass over the line."""
     out = np.full_like(block, np.inf)
-    for i in range(n):
-        np.minimum(out, block[:, i:i + 1] + (at - i) ** 2, out=out)
+    for line, own in zip(block, out):
+        places = np.flatnonzero(np.isfinite(line)).tolist()
+        if not places:
+            continue
+        f = line.tolist()
+        held, start = [places[0]], [-np.inf]  # parabolas of the envelope, and where each begins
+        for q in places[1:]:
+            high = f[q] + q * q
+            while True:
+                p = held[-1]
+                s = (high - f[p] - p * p) / (2 * (q - p))
+                if s > start[-1] or len(held) == 1:
+                    break
+                held.pop(), start.pop()
+            if s <= start[-1]:
+                held[-1] = q
+            else:
+                held.append(q), start.append(s)
+        at = np.arange(len(line))
+        near = np.array(held)[np.searchsorted(start, at, "left").clip(1) - 1]
+        own[:] = line[near] + (at - near) ** 2
     return out
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..grid import Grid, index, resized
+from .terrain import BAND
 
 
 def bilinear(points: DataFrame, cells: DataFrame, grid: Grid, values: list[str], key: str = "pid", x: str = "x", y: str = "y") -> DataFrame:
@@ -32,25 +35,48 @@ def bilinear(points: DataFrame, cells: DataFrame, grid: Grid, values: list[str],
 def nearest(cells: DataFrame, value: str = "z") -> DataFrame:
     """Nulls of ``value`` replaced by the nearest cell's, of equals the first by (r, c): (r, c, value).
 
-    Rings of growing squares are searched, so each gap meets cells near to it only.
+    Two passes over bands of lines carry the place of the nearest known cell: that of the same column first, then
+    the best of those of the row, outwards until none can be nearer.
     """
-    known = cells.where(F.col(value).isNotNull()).select(F.col("r").alias("kr"), F.col("c").alias("kc"), F.col(value).alias("kv"))
-    gaps = cells.where(F.col(value).isNull()).select("r", "c")
-    filled, size = None, 4
-    if not known.limit(1).count():
+    top = cells.agg(F.max("r").alias("m"), F.max("c").alias("n"), F.max(F.col(value).isNull().cast("int")).alias("gaps"), F.max(F.col(value).isNotNull().cast("int")).alias("some")).first()
+    if not top["gaps"] or not top["some"]:
         return cells.select("r", "c", value)
-    while gaps.limit(1).count():
-        tile = lambda r, c: (F.expr(f"{r} div {size}"), F.expr(f"{c} div {size}"))
-        tr, tc = tile("r", "c")
-        near = gaps.withColumn("tr", F.explode(F.expr(f"sequence(r div {size} - 1, r div {size} + 1)"))).withColumn("tc", F.explode(F.expr(f"sequence(c div {size} - 1, c div {size} + 1)")))
-        kr, kc = tile("kr", "kc")
-        met = near.join(known.withColumns({"tr": kr, "tc": kc}), ["tr", "tc"]).withColumn("d", (F.col("r") - F.col("kr")) * (F.col("r") - F.col("kr")) + (F.col("c") - F.col("kc")) * (F.col("c") - F.col("kc")))
-        # whatever lies within the tile's width has been seen
-        best = met.where(F.col("d") <= size * size).groupBy("r", "c").agg(F.min(F.struct("d", "kr", "kc", "kv")).alias("m")).select("r", "c", F.col("m.kv").alias(value)).persist()
-        filled = best if filled is None else filled.union(best)
-        gaps, size = gaps.join(best.select("r", "c"), ["r", "c"], "left_anti"), size * 4
-    whole = cells.where(F.col(value).isNotNull()).select("r", "c", value)
-    return whole if filled is None else whole.union(filled)
+    rows, columns = top["m"] + 1, top["n"] + 1
+
+    def down(pdf: pd.DataFrame) -> pd.DataFrame:
+        lines, at = np.unique(pdf["c"].to_numpy(), return_inverse=True)
+        known = np.zeros((len(lines), rows), bool)
+        known[at, pdf["r"].to_numpy()] = pdf["known"].to_numpy()
+        place = np.arange(rows)
+        back = np.maximum.accumulate(np.where(known, place, -4 * rows), axis=1)
+        ahead = np.minimum.accumulate(np.where(known, place, 8 * rows)[:, ::-1], axis=1)[:, ::-1]
+        near = np.where(place - back <= ahead - place, back, ahead)
+        fine = np.repeat(known.any(1), rows)
+        return pd.DataFrame({"r": np.tile(place, len(lines))[fine], "c": np.repeat(lines, rows)[fine], "near": near.ravel()[fine]})
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        lines, at = np.unique(pdf["r"].to_numpy(), return_inverse=True)
+        near = np.full((len(lines), columns), -1, np.int64)
+        near[at, pdf["c"].to_numpy()] = pdf["near"].to_numpy()
+        far = np.where(near >= 0, (near - lines[:, None]) ** 2, 1 << 60)
+        best, row, column = far.copy(), np.where(near >= 0, near, rows), np.tile(np.arange(columns), (len(lines), 1))
+        for k in range(1, columns):
+            if k * k > best.max():
+                break
+            for to, of in ((slice(k, None), slice(None, -k)), (slice(None, -k), slice(k, None))):  # the cell to the left, then that to the right
+                d, r = far[:, of] + k * k, near[:, of]
+                c = np.broadcast_to(np.arange(columns)[of], d.shape)
+                b, x, y = best[:, to], row[:, to], column[:, to]
+                better = (near[:, of] >= 0) & ((d < b) | (d == b) & ((r < x) | (r == x) & (c < y)))
+                b[better], x[better], y[better] = d[better], r[better], c[better]
+        return pd.DataFrame({"r": np.repeat(lines, columns), "c": np.tile(np.arange(columns), len(lines)), "kr": row.ravel(), "kc": column.ravel()})
+
+    known = cells.select("r", "c", F.col(value).isNotNull().alias("known"))
+    column = known.groupBy(F.expr(f"c div {BAND}").alias("band")).applyInPandas(lambda pdf: down(pdf), "r long, c long, near long")
+    place = column.groupBy(F.expr(f"r div {BAND}").alias("band")).applyInPandas(lambda pdf: across(pdf), "r long, c long, kr long, kc long")
+    gaps = cells.where(F.col(value).isNull()).select("r", "c").join(place, ["r", "c"])
+    given = cells.where(F.col(value).isNotNull()).select(F.col("r").alias("kr"), F.col("c").alias("kc"), value)
+    return cells.where(F.col(value).isNotNull()).select("r", "c", value).union(gaps.join(given, ["kr", "kc"]).select("r", "c", value))
 
 
 def resample(cells: DataFrame, grid: Grid, dx: float, dy: float, value: str = "z") -> tuple[DataFrame, Grid]:

@@ -6,6 +6,8 @@ groups bands of whole lines, so a task holds BAND lines whatever the size of the
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -63,13 +65,16 @@ def _both(cells: DataFrame, grid: Grid, value: str, rows, columns) -> DataFrame:
     return done.select("r", "c", value)
 
 
-def _lowpass(kc: float, scale: float):
-    """Gaussian low pass along lines: transfer exp(-k^2 / 2 kc^2), k = 2 pi scale f."""
+def transfer(kc: float, scale: float, n: int) -> np.ndarray:
+    """Gaussian low pass of lines of ``n`` cells: exp(-k^2 / 2 kc^2), k = 2 pi scale f; one of zero or less lets all through."""
+    k = 2 * np.pi * scale * np.fft.rfftfreq(n)
+    return np.exp(-(k**2) / (2 * kc**2)) if kc > 0 else np.ones(len(k))
 
+
+def _lowpass(kc: float, scale: float):
     def run(block: np.ndarray) -> np.ndarray:
         n = block.shape[1]
-        k = 2 * np.pi * scale * np.fft.rfftfreq(n)
-        return np.fft.irfft(np.fft.rfft(block, axis=1) * np.exp(-(k**2) / (2 * kc**2)), n, axis=1)
+        return np.fft.irfft(np.fft.rfft(block, axis=1) * transfer(kc, scale, n), n, axis=1)
 
     return run
 
@@ -93,6 +98,47 @@ def lowpass(cells: DataFrame, grid: Grid, kc: float, value: str = "z", per_cell:
     return done
 
 
+def lowpass_at(points: DataFrame, cells: DataFrame, grid: Grid, cutoffs: list[float], value: str, key: str = "pid", together: int = 65536) -> DataFrame:
+    """(key, values): ``value`` filtered as by ``lowpass`` at each cutoff, bilinear at the points; points beyond the cells' centres are left out.
+
+    The filtered grids are never made. A band of rows filters its lines and keeps them at the points' columns; what
+    its rows add to each point down the columns is summed over bands. A pass over the grid takes ``together`` points.
+    """
+    m, n, step = grid.nrows, grid.ncols, (abs(grid.dx), abs(grid.dy))
+    mean = cells.agg(F.avg(value)).first()[0] or 0.0
+    fx = (F.col("x") - F.lit(grid.bounds[0])) / F.lit(float(grid.dx)) - F.lit(0.5)
+    fy = (F.col("y") - F.lit(grid.bounds[1])) / F.lit(float(grid.dy)) - F.lit(0.5)
+    at = points.select(F.col(key).alias("k_"), fx.alias("fx"), fy.alias("fy")).where((F.col("fx") >= 0) & (F.col("fx") <= n - 1) & (F.col("fy") >= 0) & (F.col("fy") <= m - 1))
+    kernels = [np.fft.irfft(transfer(kc, step[1], m), m) for kc in cutoffs]
+    bands = cells.select(F.expr(f"r div {BAND}").alias("band"), "r", "c", F.coalesce(value, F.lit(mean)).cast("double").alias("v"))
+    kind = points.schema[key].dataType.simpleString()
+
+    def one(own: pd.DataFrame) -> DataFrame:
+        shared = cells.sparkSession.sparkContext.broadcast((own["k_"].to_numpy(), own["fx"].to_numpy(), own["fy"].to_numpy()))  # ``together`` points
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            k, x, y = shared.value
+            rows, place = np.unique(pdf["r"].to_numpy(), return_inverse=True)
+            block = np.full((len(rows), n), mean)
+            block[place, pdf["c"].to_numpy()] = pdf["v"].to_numpy()
+            c, r = np.minimum(np.floor(x), max(n - 2, 0)).astype(int), np.minimum(np.floor(y), max(m - 2, 0)).astype(int)
+            u, w = x - c, y - r
+            right, below = np.minimum(c + 1, n - 1), np.minimum(r + 1, m - 1)
+            spectrum, total = np.fft.rfft(block, axis=1), []
+            for kc, kernel in zip(cutoffs, kernels):
+                line = np.fft.irfft(spectrum * transfer(kc, step[0], n), n, axis=1)
+                line = line[:, c] * (1 - u) + line[:, right] * u
+                total.append((line * (kernel[(r - rows[:, None]) % m] * (1 - w) + kernel[(below - rows[:, None]) % m] * w)).sum(0))
+            return pd.DataFrame({"k_": k, "sums": list(np.array(total).T)})
+
+        return bands.groupBy("band").applyInPandas(lambda pdf: run(pdf), f"k_ {kind}, sums array<double>")
+
+    parts = max(1, -(-at.count() // together))
+    got = [one(at.where(F.pmod(F.xxhash64("k_"), F.lit(parts)) == p).toPandas()) for p in range(parts)]
+    sums = reduce(DataFrame.union, got).select("k_", F.posexplode("sums").alias("i", "v")).groupBy("k_", "i").agg(F.sum("v").alias("v"))
+    return sums.groupBy(F.col("k_").alias(key)).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("values"))
+
+
 def largest_wavenumber(grid: Grid) -> float:
     """The next whole number above the largest wavenumber of a sweep's filter."""
     k = [2 * np.pi * abs(d) * (n // 2) / n for d, n in ((grid.dx, grid.ncols), (grid.dy, grid.nrows))]

@@ -7,14 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import spherical
-from ..grid import Grid, to_array
-from .sampling import bilinear
-from .terrain import lowpass, slopes
+from ..functions.columns import rise, spherical
+from ..grid import Grid
+from .terrain import lowpass_at, slopes
 
 BINS = 15
-#: Cells of a grid that a sweep may send to each task whole (64 MB); larger grids are filtered by distributed passes.
-WHOLE = 8_000_000
 
 
 def hull(points: np.ndarray) -> np.ndarray:
@@ -49,21 +46,26 @@ def diameter(points: DataFrame, x: str = "x", y: str = "y") -> float:
     return max((float(np.sqrt(((corners - p) ** 2).sum(1)).max()) for p in corners), default=0.0)
 
 
-def pairs(points: DataFrame, reach: float, key: str = "pid", x: str = "x", y: str = "y", value: str = "val") -> DataFrame:
-    """(i, j, h, dv2): each pair of points i < j nearer than ``reach``, once.
+def pairs(points: DataFrame, reach: float, key: str = "pid", x: str = "x", y: str = "y", value: str = "val", fine: int = 3, carry: str | None = None) -> DataFrame:
+    """(i, j, h, dv2): each pair of points i < j nearer than ``reach``, once; with ``carry``, ``a`` and ``b`` are that column of i and j.
 
-    Points meet by an equal join on tiles as wide as the reach, each going to its own and the three
-    tiles after it in one of the two roles.
+    Points meet by an equal join on tiles, ``fine`` to a reach, each going to its own and to those tiles
+    ahead of it that the reach touches.
     """
-    p = points.select(F.col(key).alias("i"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(value).alias("v")).where("x is not null and y is not null and v is not null and not isnan(x) and not isnan(y) and not isnan(v)")
-    p = p.withColumns({"tx": F.floor(F.col("x") / F.lit(reach)), "ty": F.floor(F.col("y") / F.lit(reach))})
-    ahead = F.array(*[F.struct((F.col("tx") + a).alias("tx"), (F.col("ty") + b).alias("ty"), F.lit(a == 0 and b == 0).alias("own")) for a, b in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))])
-    left = p.select("i", "x", "y", "v", F.explode(ahead).alias("t")).select("i", "x", "y", "v", "t.tx", "t.ty", "t.own")
-    right = p.select(F.col("i").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("v").alias("v2"), "tx", "ty")
+    known = "x is not null and y is not null and v is not null and not isnan(x) and not isnan(y) and not isnan(v)"
+    p = points.select(F.col(key).alias("i"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(value).alias("v"), (F.col(carry) if carry else F.lit(None).cast("int")).alias("a")).where(known)
+    width = reach / fine
+    p = p.withColumns({"tx": F.floor(F.col("x") / F.lit(width)), "ty": F.floor(F.col("y") / F.lit(width))})
+    far = lambda d: max(abs(d) - 1, 0)
+    steps = [(s, t) for s in range(fine + 1) for t in range(-fine, fine + 1) if (s, t) >= (0, 0) and far(s) ** 2 + far(t) ** 2 < fine**2]
+    ahead = F.array(*[F.struct((F.col("tx") + s).alias("tx"), (F.col("ty") + t).alias("ty"), F.lit(s == 0 and t == 0).alias("own")) for s, t in steps])
+    left = p.select("i", "x", "y", "v", "a", F.explode(ahead).alias("t")).select("i", "x", "y", "v", "a", "t.tx", "t.ty", "t.own")
+    right = p.select(F.col("i").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("v").alias("v2"), F.col("a").alias("b"), "tx", "ty")
     met = left.join(right, ["tx", "ty"]).where("not own or i < j")
     h = F.sqrt((F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2")))
     dv = F.col("v") - F.col("v2")
-    return met.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), h.alias("h"), (dv * dv).alias("dv2")).where(F.col("h") < F.lit(reach))
+    out = met.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), h.alias("h"), (dv * dv).alias("dv2"), *(["a", "b"] if carry else []))
+    return out.where(F.col("h") < F.lit(reach))
 
 
 def variogram(points: DataFrame, reach: float | None = None, bins: int = BINS, key: str = "pid", x: str = "x", y: str = "y", value: str = "val") -> DataFrame:
@@ -82,8 +84,7 @@ def variogram(points: DataFrame, reach: float | None = None, bins: int = BINS, k
 
 
 def _curve(h, a):
-    q = np.minimum(h / a, 1)
-    return 1.5 * q - 0.5 * q**3
+    return rise(h / a, "spherical", np.exp, lambda q: np.minimum(q, 1))
 
 
 def fit_spherical(distance, gamma, candidates: int = 400, refine: int = 40) -> tuple[float, float, float]:
@@ -146,89 +147,54 @@ def cutoffs(most: float = 10.0, least: float = 0.01, step: float | None = 0.1, c
         values = np.arange(most, least - 1e-9, -step)
     else:
         values = np.linspace(most, least, count)
-    return [float(v) for v in values if v >= 0]
-
-
-def _score(x, y, product, frozen, bins):
-    fine = ~np.isnan(product)
-    x, y, product = x[fine], y[fine], product[fine]
-    if len(product) < 3:
-        return None
-    box = hull(np.column_stack([x, y]))
-    reach = max(np.hypot(*(box - p).T).max() for p in box) / 2
-    n, total, value = np.zeros(bins), np.zeros(bins), np.zeros(bins)
-    for i in range(len(x) - 1):
-        h = np.hypot(x[i + 1:] - x[i], y[i + 1:] - y[i])
-        near = h < reach
-        k = np.minimum((h[near] / (reach / bins)).astype(int), bins - 1) if reach > 0 else np.zeros(0, int)
-        n += np.bincount(k, minlength=bins)
-        total += np.bincount(k, h[near], bins)
-        value += np.bincount(k, (product[i + 1:][near] - product[i]) ** 2 / 2, bins)
-    if not n.any():
-        return None
-    some = n > 0
-    distance, gamma = total[some] / n[some], value[some] / n[some]
-    a, c, c0 = fit_spherical(distance, gamma)
-    mean = product.mean()
-    norm = gamma / mean**2 if mean else gamma
-    within = distance <= (a if frozen is None else frozen)
-    return a, c, c0, float(norm[within].mean() if within.any() else norm.mean())
+    return [float(v) for v in values if v >= 0]  # a cutoff below zero has no meaning
+
+
+def judged(points: DataFrame, value: str = "val") -> DataFrame:
+    """(pid, x, y, v): the points that a sweep can judge, those of a place and a value above zero."""
+    return points.where((F.col(value) > 0) & ~F.isnan(value) & F.col("x").isNotNull() & F.col("y").isNotNull()).select("pid", "x", "y", F.col(value).cast("double").alias("v"))
 
 
 def sweep(cells: DataFrame, points: DataFrame, grid: Grid, values: list[float] | None = None, bins: int = BINS, freeze_range: bool = False, value: str = "val") -> DataFrame:
-    """(kc, mean_variance, range, sill, nugget) of each cutoff that can be judged.
+    """(kc, mean_variance, range, sill, nugget) of each cutoff that can be judged, those below zero left out.
 
     The slope angle is filtered at each cutoff and sampled at the points; the product with their value
-    is judged by its variogram, relative to its squared mean, within the correlation range. One job
-    for all cutoffs where the grid may be sent whole to the tasks; each cutoff is a task.
+    is judged by its variogram, relative to its squared mean, within the correlation range. All cutoffs take one pass over
+    the grid and one over the pairs of points, whose bins are the same for all. Fewer than three points give no rows.
     ``freeze_range`` judges all by the first one's range.
     """
     spark = cells.sparkSession
-    values = cutoffs() if values is None else values
-    sloped = slopes(cells, grid).select("r", "c", F.col("slope_rad").alias("slope"))
-    picks = points.where((F.col(value) > 0) & F.col("x").isNotNull() & F.col("y").isNotNull()).select("pid", "x", "y", F.col(value).alias("v")).orderBy("pid").toPandas()
-    x, y, v = (picks[k].to_numpy(float) for k in ("x", "y", "v"))
+    values = [v for v in (cutoffs() if values is None else values) if v >= 0]
     schema = "kc double, mean_variance double, range double, sill double, nugget double"
-    if grid.nrows * grid.ncols > WHOLE:
-        rows, frozen = [], None
-        for kc in values:
-            at = bilinear(points, lowpass(sloped, grid, kc, "slope"), grid, ["slope"]).toPandas()
-            got = _score(x, y, picks.merge(at, on="pid", how="left")["slope"].to_numpy(float) * v, frozen, bins)
-            if got:
-                frozen = got[0] if freeze_range and frozen is None else frozen
-                rows.append((kc, got[3], *got[:3]))
-        return spark.createDataFrame(rows, schema)
-    slope = to_array(sloped, grid, "slope")
-    slope[np.isnan(slope)] = np.nanmean(slope) if not np.isnan(slope).all() else 0.0
-    shared = spark.sparkContext.broadcast((np.fft.rfft2(slope), x, y, v))
-    m, n = grid.nrows, grid.ncols
-    kx, ky = 2 * np.pi * abs(grid.dx) * np.fft.rfftfreq(n), 2 * np.pi * abs(grid.dy) * np.fft.fftfreq(m)
-    minx, miny, dx, dy = grid.bounds[0], grid.bounds[1], grid.dx, grid.dy
-
-    def judge(kc, frozen):
-        spectrum, x, y, v = shared.value
-        if kc > 0:
-            spectrum = spectrum * np.exp(-(kx**2) / (2 * kc**2)) * np.exp(-(ky**2) / (2 * kc**2))[:, None]
-        smooth = np.fft.irfft2(spectrum, (m, n))
-        fx, fy = (x - minx) / dx - 0.5, (y - miny) / dy - 0.5
-        c, r = np.clip(np.floor(fx), 0, max(n - 2, 0)).astype(int), np.clip(np.floor(fy), 0, max(m - 2, 0)).astype(int)
-        u, w = fx - c, fy - r
-        c1, r1 = np.minimum(c + 1, n - 1), np.minimum(r + 1, m - 1)
-        at = smooth[r, c] * (1 - u) * (1 - w) + smooth[r, c1] * u * (1 - w) + smooth[r1, c] * (1 - u) * w + smooth[r1, c1] * u * w
-        at[(fx < 0) | (fx > n - 1) | (fy < 0) | (fy > m - 1)] = np.nan
-        return _score(x, y, at * v, frozen, bins)
-
-    frozen = None
+    sloped = slopes(cells, grid).select("r", "c", F.col("slope_rad").alias("slope"))
+    own = judged(points, value)
+    at = lowpass_at(own, sloped, grid, values, "slope") if values else None
+    products = own.join(at, "pid").select("pid", "x", "y", "v", F.transform("values", lambda s: s * F.col("v")).alias("products")).persist() if values else None
+    if products is None or products.limit(3).count() < 3:
+        return spark.createDataFrame([], schema)
+    reach = diameter(products) / 2
+    if reach <= 0:
+        return spark.createDataFrame([], schema)
+    means = products.select(F.posexplode("products").alias("i", "p")).groupBy("i").agg(F.avg("p").alias("mean"))
+    met = pairs(products, reach, value="v", carry="products")
+    bin_ = F.least(F.floor(F.col("h") / F.lit(reach / bins)), F.lit(bins - 1)).cast("int").alias("bin")
+    each = met.select(bin_, "h", F.posexplode(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y))).alias("i", "d"))
+    binned = each.groupBy("i", "bin").agg(F.avg("h").alias("distance"), (F.avg("d") / 2).alias("gamma")).join(F.broadcast(means), "i").persist()  # cutoffs times bins
+
+    def judge(pdf, frozen=None):
+        pdf = pdf.sort_values("bin")
+        distance, gamma, mean = pdf["distance"].to_numpy(), pdf["gamma"].to_numpy(), pdf["mean"].iloc[0]
+        a, c, c0 = fit_spherical(distance, gamma)
+        norm = gamma / mean**2 if mean else gamma
+        within = distance <= (a if frozen is None else frozen)
+        return pd.DataFrame({"kc": [values[int(pdf["i"].iloc[0])]], "mean_variance": [float(norm[within].mean() if within.any() else norm.mean())], "range": [a], "sill": [c], "nugget": [c0]})
+
+    scores = binned.groupBy("i").applyInPandas(lambda pdf: judge(pdf), schema)
     if freeze_range:
-        frozen = next((got[0] for kc in values if (got := judge(kc, None))), None)
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(kc, got[3], *got[:3]) for kc in pdf["kc"] if (got := judge(kc, frozen))]
-            yield pd.DataFrame(rows, columns=["kc", "mean_variance", "range", "sill", "nugget"])
-
-    tasks = min(len(values), 4 * spark.sparkContext.defaultParallelism) or 1
-    return spark.createDataFrame([(kc,) for kc in values], "kc double").repartition(tasks).mapInPandas(run, schema)
+        first = scores.where(F.col("kc") == values[0]).first()
+        frozen = first["range"] if first else None
+        scores = binned.groupBy("i").applyInPandas(lambda pdf: judge(pdf, frozen), schema)
+    return scores
 
 
 def best_cutoff(scores: DataFrame, default: float = 10.0) -> float:

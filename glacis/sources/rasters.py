@@ -1,6 +1,6 @@
 """Rasters: GeoTIFF, ESRI ASCII, CSV and NPY, read into cells and written from them.
 
-Files are read through Spark's binary reader, so any file system it knows will do. Row 0
+Files are read and decoded by executors, through Spark's binary reader, so any file system it knows will do. Row 0
 of a frame is the southernmost; north-up files are turned over on the way in and out.
 """
 
@@ -21,6 +21,9 @@ from ..operators.sampling import resample
 
 NO_DATA = -9999.0
 FORMATS = ("tif", "asc", "csv", "npy")
+TIFF, ASCII = ("tif", "tiff", "geotiff"), ("asc", "txt")
+#: Cells that a reading task hands over together.
+CELLS_AT_ONCE = 1 << 18
 # Fixed values of the TIFF format: sizes of field types, and the tags used here
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 8: 2, 9: 4, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8}
 TYPE_CODE = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q"}
@@ -98,8 +101,35 @@ def _lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def read_tiff(raw: bytes) -> tuple[np.ndarray, Grid]:
-    """Band 1, south up, and its grid."""
+def tiff_grid(raw: bytes) -> Grid:
+    """Size and place of a GeoTIFF."""
+    _, tag = _tags(raw)
+    w, h = tag[WIDTH][0], tag[HEIGHT][0]
+    a, e, x0, y0 = _placed(tag, h)
+    crs = None
+    keys = tag.get(GEO_KEYS, ())
+    for k in range(4, len(keys), 4):
+        if keys[k] in (3072, 2048) and keys[k + 1] == 0 and keys[k + 3] not in (0, 32767):
+            crs = f"EPSG:{keys[k + 3]}"
+            if keys[k] == 3072:
+                break
+    return Grid.of(h, w, abs(a), abs(e), (x0, min(y0, y0 + e * h), x0 + a * w, max(y0, y0 + e * h)), crs)
+
+
+def _placed(tag: dict, h: int) -> tuple[float, float, float, float]:
+    """Width and height of a cell (negative: north up), and the outer corner of the first one."""
+    if TRANSFORM in tag:
+        a, _, _, x0, _, e, _, y0 = tag[TRANSFORM][:8]
+        return a, e, x0, y0
+    if PIXEL_SCALE in tag and TIEPOINT in tag:
+        sx, sy = tag[PIXEL_SCALE][:2]
+        i, j, _, x, y = tag[TIEPOINT][:5]
+        return sx, -sy, x - i * sx, y + j * sy
+    return 1.0, -1.0, 0.0, float(h)
+
+
+def tiff_blocks(raw: bytes):
+    """(first row, first column, values) of each strip or tile of band 1, rows counted and running from the south."""
     order, tag = _tags(raw)
     w, h = tag[WIDTH][0], tag[HEIGHT][0]
     bits, kind, samples = tag.get(BITS, (1,))[0], tag.get(SAMPLE_FORMAT, (1,))[0], tag.get(SAMPLES, (1,))[0]
@@ -111,41 +141,24 @@ def read_tiff(raw: bytes) -> tuple[np.ndarray, Grid]:
     tiled = TILE_AT in tag
     bw, bh = (tag[TILE_WIDTH][0], tag[TILE_HEIGHT][0]) if tiled else (w, min(tag.get(STRIP_ROWS, (h,))[0], h))
     at, size = (tag[TILE_AT], tag[TILE_SIZE]) if tiled else (tag[STRIP_AT], tag[STRIP_SIZE])
-    across, out = math.ceil(w / bw), np.empty((h, w))
+    across, up = math.ceil(w / bw), _placed(tag, h)[1] < 0
+    gap = tag.get(GDAL_NODATA, "").strip()
     for i in range(across * math.ceil(h / bh)):
         top, left = i // across * bh, i % across * bw
         rows = bh if tiled else min(bh, h - top)
         data = _unpack(raw[at[i]:at[i] + size[i]], how)
         if predictor == 3:
             block = np.frombuffer(data, np.uint8)[: rows * bw * inner * (bits // 8)].reshape(rows, -1)
-            block = np.add.accumulate(block, axis=1, dtype=np.uint8).reshape(rows, bits // 8, -1)
+            block = np.add.accumulate(block.reshape(rows, -1, inner), axis=1, dtype=np.uint8).reshape(rows, bits // 8, -1)
             block = np.ascontiguousarray(block.transpose(0, 2, 1)).view(np.dtype(f">f{bits // 8}")).reshape(rows, bw, inner)
         else:
             block = np.frombuffer(data, dtype)[: rows * bw * inner].reshape(rows, bw, inner)
             if predictor == 2:
                 block = np.add.accumulate(block, axis=1, dtype=dtype)
-        out[top:top + rows, left:left + bw] = block[: h - top, : w - left, 0]
-    if tag.get(GDAL_NODATA, "").strip():
-        out[out == float(tag[GDAL_NODATA])] = np.nan
-    if TRANSFORM in tag:
-        a, _, _, x0, _, e, _, y0 = tag[TRANSFORM][:8]
-    elif PIXEL_SCALE in tag and TIEPOINT in tag:
-        sx, sy = tag[PIXEL_SCALE][:2]
-        i, j, _, x, y = tag[TIEPOINT][:5]
-        a, e, x0, y0 = sx, -sy, x - i * sx, y + j * sy
-    else:
-        a, e, x0, y0 = 1.0, -1.0, 0.0, float(h)
-    crs = None
-    keys = tag.get(GEO_KEYS, ())
-    for k in range(4, len(keys), 4):
-        if keys[k] in (3072, 2048) and keys[k + 1] == 0 and keys[k + 3] not in (0, 32767):
-            crs = f"EPSG:{keys[k + 3]}"
-            if keys[k] == 3072:
-                break
-    if e < 0:
-        out = out[::-1]
-    bounds = (x0, min(y0, y0 + e * h), x0 + a * w, max(y0, y0 + e * h))
-    return out, Grid.of(h, w, abs(a), abs(e), bounds, crs)
+        own = block[: h - top, : w - left, 0].astype(float)
+        if gap:
+            own[own == float(gap)] = np.nan
+        yield (h - top - len(own), left, own[::-1]) if up else (top, left, own)
 
 
 def write_tiff(z: np.ndarray, grid: Grid) -> bytes:
@@ -212,6 +225,42 @@ def _bytes(spark: SparkSession, path: str) -> bytes:
     return bytes(row[0])
 
 
+def _array(raw: bytes, kind: str) -> np.ndarray:
+    return np.atleast_2d(np.load(io.BytesIO(raw), allow_pickle=False) if kind == "npy" else numeric_table(raw)).astype(float)
+
+
+def _grid(raw: bytes, kind: str) -> Grid:
+    if kind in TIFF:
+        return tiff_grid(raw)
+    return read_ascii(raw)[1] if kind in ASCII else Grid.of(*_array(raw, kind).shape)
+
+
+def _scan(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, Grid]:
+    """Cells and grid of a file that an executor reads and decodes; what reaches the driver is the grid."""
+    from pyspark import cloudpickle
+
+    file = spark.read.format("binaryFile").load(path).select("content")
+
+    def head(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"grid": [cloudpickle.dumps(_grid(bytes(raw), kind)) for raw in pdf["content"]]})
+
+    def cells(batches):
+        for pdf in batches:
+            for raw in map(bytes, pdf["content"]):
+                blocks = tiff_blocks(raw) if kind in TIFF else [(0, 0, read_ascii(raw)[0] if kind in ASCII else _array(raw, kind))]
+                for r0, c0, z in blocks:
+                    for s in range(0, len(z), lines := max(1, CELLS_AT_ONCE // max(z.shape[1], 1))):
+                        own = z[s:s + lines]
+                        r, c = np.divmod(np.arange(own.size), own.shape[1])
+                        yield pd.DataFrame({"r": r0 + s + r, "c": c0 + c, "z": own.ravel()})
+
+    got = file.mapInPandas(head, "grid binary").first()
+    if got is None:
+        raise FileNotFoundError(path)
+    return file.mapInPandas(cells, CELLS).withColumn("z", F.nanvl("z", F.lit(None))), cloudpickle.loads(bytes(got[0]))
+
+
 def read_dem(spark: SparkSession, source, dx: float | None = None, dy: float | None = None, bounds=None) -> tuple[DataFrame, Grid]:
     """Cells and grid of a path, an array, or a frame (r, c, z).
 
@@ -226,17 +275,11 @@ def read_dem(spark: SparkSession, source, dx: float | None = None, dy: float | N
     if not isinstance(source, str):
         return from_array(spark, source, dx or 1.0, dy or dx or 1.0, bounds)
     kind = source.rsplit(".", 1)[-1].lower()
-    if kind in ("tif", "tiff", "geotiff"):
-        z, grid = read_tiff(_bytes(spark, source))
-    elif kind in ("asc", "txt"):
-        z, grid = read_ascii(_bytes(spark, source))
-    elif kind == "csv":
-        return from_array(spark, numeric_table(_bytes(spark, source)), dx or 1.0, dy or dx or 1.0, bounds)
-    elif kind == "npy":
-        return from_array(spark, np.load(io.BytesIO(_bytes(spark, source)), allow_pickle=False), dx or 1.0, dy or dx or 1.0, bounds)
-    else:
+    if kind not in (*TIFF, *ASCII, "csv", "npy"):
         raise ValueError(f"unknown raster format {kind!r}")
-    cells, _ = from_array(spark, z)
+    cells, grid = _scan(spark, source, kind)
+    if kind in ("csv", "npy"):
+        return cells, Grid.of(grid.nrows, grid.ncols, dx or 1.0, dy or dx or 1.0, bounds)
     if dx or dy:
         return resample(cells, grid, dx or grid.dx, dy or grid.dy)
     return cells, grid
@@ -244,9 +287,9 @@ def read_dem(spark: SparkSession, source, dx: float | None = None, dy: float | N
 
 def encode(z: np.ndarray, grid: Grid, kind: str) -> bytes:
     """A raster file's bytes; an unknown format is an error."""
-    if kind in ("tif", "tiff", "geotiff"):
+    if kind in TIFF:
         return write_tiff(z, grid)
-    if kind in ("asc", "txt"):
+    if kind in ASCII:
         return write_ascii(z, grid).encode()
     if kind == "csv":
         return "".join(",".join("%.18e" % v for v in row) + "\n" for row in z).encode()
@@ -257,6 +300,16 @@ def encode(z: np.ndarray, grid: Grid, kind: str) -> bytes:
     raise ValueError(f"unknown raster format {kind!r}")
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A file in whatever file system ``path`` names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def write_dem(cells: DataFrame, grid: Grid, path: str, formats=None, value: str = "z") -> list[str]:
     """Write a grid that fits the driver in one or more formats (``all``: every one); the paths written.
 
@@ -273,12 +326,6 @@ def write_dem(cells: DataFrame, grid: Grid, path: str, formats=None, value: str
         kinds = [f.lower() for f in formats]
     z = to_array(cells, grid, value)
     files = {f"{stem if known else path}.{k}": encode(z, grid, k) for k in kinds}
-    jvm, conf = cells.sparkSession._jvm, cells.sparkSession._jsc.hadoopConfiguration()
     for name, data in files.items():
-        target = jvm.org.apache.hadoop.fs.Path(name)
-        out = target.getFileSystem(conf).create(target, True)
-        try:
-            out.write(bytearray(data))
-        finally:
-            out.close()
+        write_bytes(cells.sparkSession, name, data)
     return list(files)

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import json
-import os
 import sqlite3
 import struct
-import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +15,7 @@ from ..operators.mask import inside, valid_polygons
 from ..operators.migration import check_extent
 from .rasters import _bytes, numeric_table
 
-VERTICES = "ring_id int, seq int, x double, y double"
+VERTICES = "polygon int, ring_id int, seq int, x double, y double"
 
 
 def _geojson(raw: bytes):
@@ -46,8 +44,7 @@ def _shapefile(raw: bytes):
         xy = np.frombuffer(body, "<f8", 2 * points, 44 + 4 * parts).reshape(-1, 2)
         for a, b in zip(first, first[1:]):
             ring = xy[a:b]
-            area = np.dot(ring[:-1, 0], ring[1:, 1]) - np.dot(ring[1:, 0], ring[:-1, 1])
-            if area < 0 or not polygons:  # outer rings run clockwise
+            if _turn(ring) < 0 or not polygons:  # outer rings run clockwise
                 polygons.append([ring])
             else:
                 polygons[-1].append(ring)
@@ -78,17 +75,15 @@ def _wkb(data: bytes, at: int = 0):
 
 
 def _geopackage(raw: bytes):
-    with tempfile.TemporaryDirectory() as folder:  # the driver reads it and is done with it
-        path = os.path.join(folder, "outline.gpkg")
-        with open(path, "wb") as f:
-            f.write(raw)
-        with sqlite3.connect(path) as db:
-            table, column, srs = db.execute("select table_name, column_name, srs_id from gpkg_geometry_columns").fetchone()
-            polygons = []
-            for (blob,) in db.execute(f'select "{column}" from "{table}"'):
-                if blob:
-                    size = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}[blob[3] >> 1 & 7]
-                    polygons += _wkb(blob, 8 + size)[0]
+    db = sqlite3.connect(":memory:")
+    db.deserialize(raw)
+    table, column, srs = db.execute("select table_name, column_name, srs_id from gpkg_geometry_columns").fetchone()
+    polygons = []
+    for (blob,) in db.execute(f'select "{column}" from "{table}"'):
+        if blob:
+            size = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}[blob[3] >> 1 & 7]
+            polygons += _wkb(blob, 8 + size)[0]
+    db.close()
     return polygons, f"EPSG:{srs}" if srs and srs > 0 else None
 
 
@@ -101,15 +96,57 @@ def _rings(raw: bytes):
     return [[r for r in rings if len(r) >= 3]], None
 
 
+def encode_outline(polygons, kind: str, crs: str | None = None) -> bytes:
+    """Polygons (outer ring, holes) as a file's bytes: ``geojson``, ``shp`` (without its index and table), ``gpkg`` or ``csv`` (one polygon)."""
+    rings = [[np.asarray(r, "<f8") for r in p] for p in polygons]
+    closed = [[np.concatenate([r, r[:1]]) for r in p] for p in rings]
+    if kind in ("geojson", "json"):
+        doc = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {}, "geometry": {"type": "Polygon", "coordinates": [r.tolist() for r in p]}} for p in closed]}
+        return json.dumps(doc | ({"crs": {"type": "name", "properties": {"name": crs}}} if crs else {})).encode()
+    if kind == "csv":
+        return b"x,y\n" + b"nan,nan\n".join(b"".join(b"%r,%r\n" % (float(x), float(y)) for x, y in r) for r in rings[0])
+    if kind == "shp":
+        body, box = b"", lambda xy: struct.pack("<4d", *xy.min(0), *xy.max(0))
+        for i, p in enumerate(closed):
+            turned = [r if (_turn(r) < 0) == (k == 0) else r[::-1] for k, r in enumerate(p)]  # outer rings run clockwise
+            xy, first = np.concatenate(turned), np.cumsum([0] + [len(r) for r in turned[:-1]])
+            shape = struct.pack("<i", 5) + box(xy) + struct.pack("<2i", len(turned), len(xy)) + first.astype("<i4").tobytes() + xy.tobytes()
+            body += struct.pack(">2i", i + 1, len(shape) // 2) + shape
+        return struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(body)) // 2) + struct.pack("<2i", 1000, 5) + box(np.concatenate([r for p in closed for r in p])) + b"\0" * 32 + body
+    if kind == "gpkg":
+        db, srs = sqlite3.connect(":memory:"), int(crs.rsplit(":", 1)[1]) if crs else 0
+        db.execute("create table gpkg_geometry_columns (table_name text, column_name text, geometry_type_name text, srs_id integer, z integer, m integer)")
+        db.execute("insert into gpkg_geometry_columns values ('outline', 'geom', 'POLYGON', ?, 0, 0)", (srs,))
+        db.execute("create table outline (fid integer primary key, geom blob)")
+        for p in closed:
+            wkb = struct.pack("<BII", 1, 3, len(p)) + b"".join(struct.pack("<I", len(r)) + r.tobytes() for r in p)
+            db.execute("insert into outline (geom) values (?)", (b"GP\0\1" + struct.pack("<i", srs) + wkb,))
+        db.commit()
+        return bytes(db.serialize())
+    raise ValueError(f"unknown outline format {kind!r}")
+
+
+def _turn(ring: np.ndarray) -> float:
+    """Twice the signed area; below zero clockwise."""
+    return float(np.dot(ring[:-1, 0], ring[1:, 1]) - np.dot(ring[1:, 0], ring[:-1, 1]))
+
+
 def vertices(spark: SparkSession, polygons) -> DataFrame:
-    """(ring_id, seq, x, y): even ring numbers are outer rings, odd ones holes."""
-    rows = []
-    for p, rings in enumerate(polygons):
-        for k, ring in enumerate(rings):
-            rows += [(2 * (p * 1000 + k) + (k > 0), i, float(x), float(y)) for i, (x, y) in enumerate(ring)]
+    """(polygon, ring_id, seq, x, y): ring 0 of a polygon is its outer one, the others are holes."""
+    rows = [(p, k, i, float(x), float(y)) for p, rings in enumerate(polygons) for k, ring in enumerate(rings) for i, (x, y) in enumerate(ring)]
     return spark.createDataFrame(rows, VERTICES)
 
 
+def _projection(spark: SparkSession, path: str) -> str | None:
+    """The text of the ``.prj`` beside a shapefile, if there is one."""
+    beside = path.rsplit(".", 1)[0] + ".prj"
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(beside)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return None
+    return _bytes(spark, beside).decode("utf-8", "replace").strip() or None
+
+
 def read_outline(spark: SparkSession, path: str):
     """(polygons, crs) of an outline file."""
     kind = path.rsplit(".", 1)[-1].lower()
@@ -117,7 +154,7 @@ def read_outline(spark: SparkSession, path: str):
     if kind in ("geojson", "json"):
         polygons, crs = _geojson(raw)
     elif kind == "shp":
-        polygons, crs = _shapefile(raw)
+        polygons, crs = _shapefile(raw)[0], _projection(spark, path)
     elif kind == "gpkg":
         polygons, crs = _geopackage(raw)
     else:
@@ -147,11 +184,7 @@ def masked(cells: DataFrame, grid: Grid, outline=None) -> DataFrame:
     same_crs(grid.crs, crs)
     every = np.concatenate([r for p in polygons for r in p])
     check_extent(spark.createDataFrame(every.tolist(), "x double, y double"), grid, "outline")
-    out = cells.withColumn("any_", F.lit(False))
-    for p in polygons:  # one pass a polygon, each over the rows that it crosses
-        one = inside(cells.select("r", "c"), vertices(spark, [p]), grid).where("inside").select("r", "c", F.lit(True).alias("in_"))
-        out = out.join(one, ["r", "c"], "left").withColumn("any_", F.col("any_") | F.coalesce("in_", F.lit(False))).drop("in_")
-    return out.withColumnRenamed("any_", "inside")
+    return inside(cells, vertices(spark, polygons), grid)
 
 
 def read_survey(spark: SparkSession, source) -> DataFrame:
