@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_column
+from .common import ranked, stored, text_column
 
 #: A quoted line: marks, with blanks between, then the text. An attribution line that announces a quote.
 MARKS = r"^\\s*((?:>[ \\t]?)+)"
@@ -58,6 +58,23 @@ def passages(messages: DataFrame) -> DataFrame:
     return whole.select("uid", F.posexplode(runs).alias("seq", "r")).select("uid", "seq", "r.level", "r.body")
 
 
+def _latest(both: DataFrame) -> DataFrame:
+    """``both`` with ``m`` of rows that have a ``uid`` being that of the latest row before without one, of the same ``own`` and ``h``.
+
+    Rows are ranked over ranges, so that many of one hash don't meet in a task; what a range has before it is
+    carried over for the hashes that go on from one range to the next, which are no more than there are ranges.
+    """
+    rows = stored(ranked(both, "own", "h", F.col("turn").asc_nulls_first(), F.col("uid").isNull(), "m.source"), "order")
+    here = Window.partitionBy("range", "own", "h").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    source = F.when(F.col("uid").isNull(), F.col("m"))
+    spans = stored(rows.groupBy("own", "h").agg(F.min("range").alias("a"), F.max("range").alias("b")).where("a < b").select("own", "h"), "spans")
+    ends = rows.join(spans, ["own", "h"]).groupBy("own", "h", "range").agg(F.max(F.when(F.col("uid").isNull(), F.struct("rank", "m"))).alias("e"))
+    gone = Window.partitionBy("own", "h").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = stored(ends.select("own", "h", "range", F.last("e.m", ignorenulls=True).over(gone).alias("carried")), "carried")
+    out = rows.withColumn("local", F.last(source, ignorenulls=True).over(here)).join(carried, ["own", "h", "range"], "left")
+    return out.withColumn("m", F.when(F.col("uid").isNotNull(), F.coalesce("local", "carried"))).drop("local", "carried", "rank", "range")
+
+
 def conversations(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conversation, turn, role, content, parent_turn, depth, position, n_quotes, n_linked) for every message.
 
@@ -96,8 +113,7 @@ def conversations(messages: DataFrame, conversation: str = "conv_id", turn: str
     # neither many quotes nor many messages of one hash multiply
     both = asked.select("own", "h", "turn", "uid", "seq", "level", "all", F.lit(None).cast("struct<source_turn:long,source:long>").alias("m")).union(
         parts.select("own", "h", F.col("source_turn").alias("turn"), F.lit(None).cast("long"), F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(None).cast("boolean"), F.struct(F.col("source_turn").cast("long"), "source")))
-    before = Window.partitionBy("own", "h").orderBy(F.col("turn").asc_nulls_first(), F.col("uid").isNull().cast("int"), "m.source").rowsBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("m", F.when(F.col("uid").isNotNull(), F.last("m", ignorenulls=True).over(before))).where("uid is not null and m is not null")
+    found = _latest(both).where("uid is not null and m is not null")
     found = stored(found.select("own", "uid", "seq", "level", "all", "m").distinct(), "found")
     whole = found.where("all").groupBy("uid", "seq", "level").agg(F.max("m").alias("m"))
     # of the messages that a passage's pieces name, the one that has most of it, and of such the latest
@@ -110,12 +126,17 @@ def conversations(messages: DataFrame, conversation: str = "conv_id", turn: str
     first = stored(first.select("uid", F.col("f.m.source").alias("parent"), "n_linked"), "replies")
     counts = stored(quotes.groupBy("uid").agg(F.count("*").alias("n_quotes")), "counts")
     rows = own.join(first, "uid", "left").join(counts, "uid", "left")
-    order = Window.partitionBy("own").orderBy(F.col("turn").asc_nulls_first(), "content", "uid")
-    rows = rows.withColumn("parent", F.coalesce("parent", F.lag("uid").over(order))).withColumn("place", F.row_number().over(order))
+    order = stored(ranked(rows.select("uid", "own", "turn", "content"), "own", F.col("turn").asc_nulls_first(), "content", "uid").select("uid", "own", "rank"), "order")
+    starts = stored(order.groupBy("own").agg(F.min("rank").alias("start"), F.count("*").alias("size")), "starts")
+    before = order.select((F.col("rank") + 1).alias("rank"), F.col("own").alias("same"), F.col("uid").alias("previous"))
+    places = order.join(before, "rank", "left").join(starts, "own").select("uid", F.when(F.col("same") == F.col("own"), F.col("previous")).alias("previous"), (F.col("rank") - F.col("start") + 1).alias("place"))
+    rows = rows.join(places, "uid").withColumn("parent", F.coalesce("parent", "previous")).drop("previous")
     rows = stored(rows, "rows")
     # reply order: an Euler tour enters and leaves each message once; its sums to the end are found by doubling
-    brothers = Window.partitionBy(F.coalesce("parent", -F.col("uid") - 1)).orderBy("place")  # first messages have no brothers
-    tree = stored(rows.select("uid", "own", "parent", F.when(F.col("parent").isNotNull(), F.lead("uid").over(brothers)).alias("brother")), "tree")
+    brothers = stored(ranked(rows.where("parent is not null").select("uid", "parent", "place"), "parent", "place").select("uid", "parent", "rank"), "brothers")
+    after = brothers.select((F.col("rank") - 1).alias("rank"), F.col("parent").alias("same"), F.col("uid").alias("brother"))
+    brothers = brothers.join(after, "rank").where("same = parent").select("uid", "brother")
+    tree = stored(rows.select("uid", "own", "parent").join(brothers, "uid", "left"), "tree")
     eldest = stored(rows.where("parent is not null").groupBy("parent").agg(F.min(F.struct("place", "uid")).alias("m")).select(F.col("parent").alias("uid"), F.col("m.uid").alias("child")), "eldest")
     steps = tree.join(eldest, "uid", "left")
     tour = stored(
@@ -130,9 +151,8 @@ def conversations(messages: DataFrame, conversation: str = "conv_id", turn: str
         going = tour.where("next is not null")
     tour = reduce(DataFrame.union, ended)
     entered = tour.where("at % 2 = 0").select((F.col("at") / 2).cast("long").alias("uid"), "entered", (-F.col("open")).alias("depth"))
-    sizes = stored(rows.groupBy("own").agg(F.count("*").alias("size")), "sizes")
     names = rows.select(F.col("uid").alias("parent"), F.col("turn").alias("parent_turn"))
-    out = rows.join(entered, "uid").join(sizes, "own").join(names, "parent", "left")
+    out = rows.join(entered, "uid").join(starts.select("own", "size"), "own").join(names, "parent", "left")
     return out.select(F.col("conv").alias(conversation), F.col("turn").alias(turn), F.col("role").alias(role), "content", "parent_turn", "depth",
                       (F.col("size") - F.col("entered")).alias("position"),
                       F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"))

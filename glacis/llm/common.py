@@ -96,6 +96,22 @@ def held(words: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
     return (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
+def ranked(rows: DataFrame, *by) -> DataFrame:
+    """``rows`` with ``rank``, from 0 in the order of ``by`` over all of them, and ``range``, the part of the order that a row is in.
+
+    Sorted by ranges: whatever key is frequent, no task holds more than its range. What reaches the driver, and is
+    broadcast, is one count a range.
+    """
+    done = stored(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id()), "ranked")
+    done = done.withColumn("range", F.shiftright("at", 33).cast("int"))
+    first, at = [], 0
+    for r in done.groupBy("range").count().orderBy("range").collect():
+        first.append((r["range"], at))
+        at += r["count"]
+    first = rows.sparkSession.createDataFrame(first, "range int, first long")
+    return done.join(F.broadcast(first), "range").withColumn("rank", F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("at", "first")
+
+
 def text_column(df: DataFrame, column: str):
     """The text with null as empty."""
     return F.coalesce(df[column].cast("string"), F.lit(""))

@@ -2,7 +2,8 @@
 
 Misra-Gries summaries of the partitions name the digests that may be frequent; their
 exact counts and winners are broadcast, so that their rows never move. The rest,
-no group of which holds more than two in ``counters`` of all rows, is shuffled.
+no group of which holds more than two in ``counters`` of all rows, is shuffled: digests
+are counted by partial aggregates and joined with their counts.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, text_column
@@ -55,7 +56,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", counte
     Texts are equal when identical after lower-casing A-Z only; null counts as empty.
     The largest key of a group stays (nulls lose to any key; in a group of null keys
     keep_id is null and all rows of that key stay). Repeated rows with the winning key are
-    all marked kept. Only ``key`` and ``text`` are read, whatever else is there; an
+    all marked kept. Texts are read whole, however long. Only ``key`` and ``text`` are read, whatever else is there; an
     empty table gives no rows.
     """
     table = stored(digests(docs, key, text), "digests")
@@ -67,9 +68,10 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", counte
     winners = stored(winners, "winners")
     rows = table.join(F.broadcast(winners.withColumn("hit", F.lit(True))), "digest", "left")
     removed = rows.where("hit").select("digest", "id", "keep_id", "group_size")
-    group = Window.partitionBy("digest")
-    rest = rows.where("hit is null").select("digest", "id").select(
-        "digest", "id", F.max("id").over(group).alias("keep_id"), F.count("*").over(group).alias("group_size"))
+    # counts and winners by partial aggregates; the join with them, of rows whose groups no longer are large, may be split
+    left = rows.where("hit is null").select("digest", "id")
+    groups = stored(left.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"), "groups")
+    rest = left.join(groups, "digest", "left").select("digest", "id", F.coalesce("keep_id", F.when(F.col("group_size").isNull(), F.col("id"))).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"))
     return removed.union(rest).select(
         F.col("id").alias(key), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))

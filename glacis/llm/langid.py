@@ -13,7 +13,7 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import blocks
@@ -60,15 +60,12 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     hold ``chars`` bytes. Null labels and texts are left out."""
     known = docs.where(docs[label].isNotNull() & docs[text].isNotNull()).select(docs[key].alias("id"), docs[label].cast("string").alias("label"), text_column(docs, text).alias("text"))
     names = [r["label"] for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(languages).collect()]
-    picked = None
-    hashed = known.select("id", "label", F.octet_length("text").alias("n"), F.xxhash64("id").alias("h"))
-    for name in names:
-        some = hashed.where(F.col("label") == name).orderBy("h", "id", "n").limit(rows)
-        picked = some if picked is None else picked.union(some)
-    if picked is None:
-        return train([], [])
+    # the first rows of each label by hash, whatever their number: partitions pass on no more than ``rows`` of each
+    first = Window.partitionBy("label").orderBy("h", "id", "n")
+    hashed = known.where(F.col("label").isin(names)).select("id", "label", F.octet_length("text").alias("n"), F.xxhash64("id").alias("h"))
+    picked = hashed.withColumn("k", F.row_number().over(first)).where(F.col("k") <= rows)
     spent, ids = {}, set()
-    for r in picked.collect():
+    for r in sorted(picked.collect(), key=lambda r: (r["label"], r["k"])):
         if r["id"] is not None and spent.get(r["label"], 0) + r["n"] <= chars:
             spent[r["label"]] = spent.get(r["label"], 0) + r["n"]
             ids.add(r["id"])

@@ -40,7 +40,7 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def splitters(keyed: DataFrame, shards: int, tolerance: float):
+def splitters(keyed: DataFrame, shards: int, tolerance: float, whole: float):
     """Boundaries (k0, k1, k2), as unsigned 64-bit numbers; a row belongs above those
     not larger than its own key. Also the rows below each 4096th of the first key."""
     top, deals = _probe(0), {}
@@ -48,7 +48,7 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float):
               .agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect())
     total = sum(r["bytes"] for r in counts)
     rows = {r["b"]: r["rows"] for r in counts}
-    slack = tolerance * total / shards
+    slack, group = tolerance * total / shards, whole * total / shards
     # an open splitter: the bits resolved so far, one whole number a key, and the bytes below
     open_, found = {i: ((), 0) for i in range(1, shards)}, {}
     level, histogram = 0, {(): sorted((r["b"], r["bytes"], r["rows"]) for r in counts)}
@@ -61,7 +61,8 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float):
                 if at + size > target or cell == cells[-1][0]:
                     low, high = (path, cell, at), (path, cell + 1, at + size)
                     near = min((low, high), key=lambda e: abs(e[2] - target))
-                    if abs(near[2] - target) <= slack or held == 1 or level + 1 >= len(KEYS) * len(STEPS):
+                    one = level + 1 == len(STEPS) and size <= group  # the rows of one text, few enough to stay together
+                    if abs(near[2] - target) <= slack or one or held == 1 or level + 1 >= len(KEYS) * len(STEPS):
                         found[i] = (near[0], near[1], level)
                     else:
                         ahead[i] = (_deeper(path, cell, level), at)
@@ -76,11 +77,11 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float):
             columns = _prefix(level)
             some = None
             for p in paths:
-                one = None
+                same = None
                 for c, v in zip(columns, p):
                     term = c == F.lit(_signed(v))
-                    one = term if one is None else one & term
-                some = one if some is None else some | one
+                    same = term if same is None else same & term
+                some = same if some is None else some | same
             cell = F.shiftrightunsigned(key, shift).bitwiseAND(F.lit((1 << width) - 1)) if shift else F.col(key).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
             got = (keyed.where(some).groupBy(*[c.alias(f"p{j}") for j, c in enumerate(columns)], cell.alias("b"))
                    .agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect())
@@ -114,23 +115,24 @@ def _boundary(path, cell, level):
     return tuple(whole + [0] * (len(KEYS) - len(whole)))
 
 
-def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 24, tolerance: float = 0.001, carry: tuple = ()) -> DataFrame:
+def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 24, tolerance: float = 0.001, whole: float = 0.02, carry: tuple = ()) -> DataFrame:
     """Deal ``docs`` into shards of near equal bytes (UTF-8 bytes of the text plus 8 a row).
 
     Returns key, size, text_crc32, law, shard, slot (gapless from 0 in each shard),
     grown_shard (null under the law ``bytes``) and the columns in ``carry``; other
     columns of ``docs`` aren't read, whatever their names. A null text counts as
-    empty (size 8, crc 0); null keys are dealt like others. Equal texts lie together
-    and are split only where a boundary falls among them; rows equal in key and
-    text are told apart by their place in the input. An empty table gives no rows.
+    empty (size 8, crc 0); null keys are dealt like others. Equal texts lie in one shard if
+    they take no more than the share ``whole`` of a shard's bytes: a boundary among them moves to the nearer
+    end, so a shard may be off by that share. Larger groups are split where the boundary falls. Rows equal in key and
+    text are told apart by their place in the input. Texts of any length are one row. An empty table gives no rows.
     """
-    whole = text_column(docs, text)
+    body = text_column(docs, text)
     keyed = docs.select(
-        docs[key].alias("id"), (F.octet_length(whole) + F.lit(8)).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("crc"),
-        F.xxhash64(whole).alias("k0"), F.xxhash64(docs[key]).alias("k1"), F.xxhash64(F.monotonically_increasing_id()).alias("k2"),
+        docs[key].alias("id"), (F.octet_length(body) + F.lit(8)).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("crc"),
+        F.xxhash64(body).alias("k0"), F.xxhash64(docs[key]).alias("k1"), F.xxhash64(F.monotonically_increasing_id()).alias("k2"),
         F.struct(*[docs[c] for c in carry]).alias("more") if carry else F.lit(None).cast("int").alias("more"))
     keyed = stored(keyed, "keys")
-    cuts, rows = splitters(keyed, shards, tolerance)
+    cuts, rows = splitters(keyed, shards, tolerance, whole)
     flip = F.lit(-(1 << 63))
     mine = F.struct(*[F.col(k).bitwiseXOR(flip).alias(k) for k in KEYS])
     number = F.lit(0)

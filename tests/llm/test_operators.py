@@ -12,7 +12,7 @@ import pytest
 from glacis.llm import covertree, html, jaccard, langid, toxicity
 from glacis.llm.bpe import encode_decode
 from glacis.llm.chat import conversations
-from glacis.llm.common import components
+from glacis.llm.common import components, ranked
 from glacis.llm.covertree import near_components
 from glacis.llm.exact_dedup import exact_dedup
 from glacis.llm.html import extract, main_text
@@ -240,6 +240,40 @@ def test_toxicity_learns_subwords():
     assert (p[:20] >= 0.3).mean() > 0.9 and (p[20:40] < 0.3).mean() > 0.9 and 0 <= p[40] <= 1
 
 
+def test_toxicity_step_is_the_gradient():
+    """The first step of training against the dense gradient of the loss, by hand."""
+    texts = ["good day all", "bad zq zq", "good night", "zq bad day", "fine day"]
+    y = np.array([0, 1, 0, 1, 0.0])
+    p, width, rate = 0.3, 3, 0.5
+    model = toxicity.train(texts, y.astype(int).tolist(), p, width=width, least=0.0, rounds=1, rate=rate, seed=5)
+    bags = [toxicity._grams(t) for t in texts]
+    used = np.unique(np.concatenate(bags))
+    x = np.array([[np.mean(b == u) for u in used] for b in bags])
+    x = x / np.sqrt((x**2).sum(0) / len(y))
+    norm = np.sqrt((x**2).sum(1)).mean()
+    rng = np.random.default_rng(5)
+    v, h, bias = rng.normal(0, 0.01, (len(used), width)), rng.normal(0, 1, (width, 2)), np.log([1 - p, p])
+    weight = np.where(y == 1, p / y.mean(), (1 - p) / (1 - y.mean())) / len(y)
+
+    def loss(v, h, bias):
+        z = x @ v / norm @ h + bias
+        z -= np.log(np.exp(z).sum(1, keepdims=True))
+        return -(weight * z[np.arange(5), y.astype(int)]).sum()
+
+    def slope(at, f, e=1e-6):
+        out = np.zeros_like(at)
+        for i in np.ndindex(at.shape):
+            up, low = at.copy(), at.copy()
+            up[i] += e
+            low[i] -= e
+            out[i] = (f(up) - f(low)) / (2 * e)
+        return out
+
+    v2, h2, b2 = v - rate * slope(v, lambda q: loss(q, h, bias)), h - rate * slope(h, lambda q: loss(v, q, bias)), bias - rate * slope(bias, lambda q: loss(v, h, q))
+    scale = np.sqrt((np.array([[np.mean(b == u) for u in used] for b in bags]) ** 2).sum(0) / len(y))
+    assert np.allclose(model.table[used], (v2 @ (h2[:, 1] - h2[:, 0])) / scale / norm, atol=1e-4) and model.bias == pytest.approx(b2[1] - b2[0], abs=1e-5)
+
+
 def test_toxicity_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (5, None)], "doc_id long, toxic int")
     docs = documents(spark, AWKWARD)
@@ -358,6 +392,109 @@ def test_chat_nested_attributions(spark):
     assert got[0] == [(None, 0), (0, 1), (1, 2)] and got[1] == [(None, 0), (0, 1), (1, 0), (1, 2)] and got[2][3] == (1, 2) and got[3][2] == (0, 1)
 
 
+def tree_brute(messages):
+    """(parent, depth, position, linked) of each message of a conversation given as (own text, quoted text or None)."""
+    normal = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
+    parents, linked = [], []
+    for i, (_, quoted) in enumerate(messages):
+        found = [j for j in range(i) if quoted and normal(messages[j][0]) == normal(quoted)]
+        parents.append(found[-1] if found else i - 1 if i else None)
+        linked.append(len(found) > 0)
+    kids = collections.defaultdict(list)
+    for i, p in enumerate(parents):
+        kids[p].append(i)
+    depth, position, stack = {}, {}, [(i, 0) for i in reversed(kids[None])]
+    while stack:
+        i, d = stack.pop()
+        depth[i], position[i] = d, len(position)
+        stack += [(k, d + 1) for k in reversed(kids[i])]
+    return [(parents[i], depth[i], position[i], int(linked[i])) for i in range(len(messages))]
+
+
+def test_chat_against_brute_force(spark):
+    """Random quotes in conversations of many sizes, one of which holds most messages; texts that recur; columns of our own names."""
+    rng = np.random.default_rng(14)
+    every, rows = {}, []
+    for conv, size in enumerate([300, *rng.integers(1, 12, 12).tolist()]):
+        messages = []
+        for i in range(size):
+            own = f"Common text {rng.integers(3)}." if rng.random() < 0.3 else f"Message {i} of {conv} says {rng.integers(1000)}."
+            quoted = messages[rng.integers(i)][0] if i and rng.random() < 0.6 else "Never said." if rng.random() < 0.1 else None
+            messages.append((own, quoted))
+            text = f"On day {i} X wrote:\n> {quoted.upper() if rng.random() < 0.3 else quoted}\n\n{own}" if quoted else own
+            rows.append((conv, i, "user", text, 1, 2, "z"))
+        every[conv] = tree_brute(messages)
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    got = conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, uid long, rank long, own string")).toPandas()
+    assert len(got) == len(rows)
+    for r in got.itertuples():
+        parent, depth, position, linked = every[r.conv_id][r.turn]
+        assert (None if r.parent_turn != r.parent_turn else r.parent_turn, r.depth, r.position, r.n_linked) == (parent, depth, position, linked), r
+
+
+def test_chat_ties_and_long_texts(spark):
+    """The same quote twice, two sources of one turn, a very long message and its quote."""
+    long = "Word after word. " * 20_000
+    rows = [(1, 0, "u", long), (1, 1, "u", "Other."), (1, 2, "u", f"> {long}\nYes."), (2, 0, "u", "Same."), (2, 0, "v", "Same."), (2, 1, "u", "> Same.\n\nA\n> Same.\n\nB")]
+    got = conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    by = {(r["conv_id"], r["turn"]): r for r in got}
+    assert len(got) == 6 and (by[1, 2]["parent_turn"], by[1, 2]["n_linked"]) == (0, 1) and (by[2, 1]["parent_turn"], by[2, 1]["n_linked"], by[2, 1]["n_quotes"]) == (0, 2, 2)
+
+
+def fuse_brute(rows, names):
+    """The posterior by plain arithmetic: likelihood, host, site, suffix and declared priors, each less the row's own share."""
+    k = range(len(names))
+    soft = {}
+    for r in rows:
+        e = [np.exp(x) for x in r["log"]]
+        soft[r["id"]] = [x / sum(e) for x in e] if r["n"] > 0 else [0.0 for _ in k]
+    total = lambda some: [sum(soft[r["id"]][j] for r in some) for j in k]
+    everywhere, declared = total(rows), {d for d in (r["declared"] for r in rows) if d}
+    said = {d: total([r for r in rows if r["declared"] == d]) for d in declared}
+    out = {}
+    for r in rows:
+        own = soft[r["id"]]
+        p = [(everywhere[j] + 1 - own[j]) / (sum(everywhere) + len(names)) for j in k]
+        for same in (("suffix",), ("site", "suffix"), ("host",)):
+            level = total([q for q in rows if all(q[c] == r[c] for c in same)])
+            n = max(sum(level[j] - own[j] for j in k), 0)
+            p = [(max(level[j] - own[j], 0) + langid.LEAN * p[j]) / (n + langid.LEAN) for j in k]
+        score = [r["log"][j] + np.log(p[j]) for j in k]
+        if r["declared"]:
+            score = [s + np.log((max(said[r["declared"]][j] - own[j], 0) + 0.5) / (sum(v[j] for v in said.values()) + 0.5 * (len(said) + 1))) for s, j in zip(score, k)]
+        best = max(k, key=lambda j: score[j])
+        sure = 1 / sum(np.exp(s - score[best]) for s in score)
+        out[r["id"]] = (names[best] if r["n"] else "und", sure, r["n"] > 0 and sure >= 0.5)
+    return out
+
+
+def test_language_fusion_against_brute_force(spark):
+    rng = np.random.default_rng(15)
+    names, rows = ["aa", "bb", "cc"], []
+    for i in range(80):
+        site = f"s{rng.integers(5)}"
+        log = rng.normal(0, 3, 3)
+        rows.append({"id": i, "host": f"h{rng.integers(2)}.{site}", "site": site, "suffix": f"x{site[1:] in '01'}", "declared": rng.choice(["aa", "bb", "zz", None], p=[0.2, 0.2, 0.1, 0.5]), "n": int(rng.integers(0, 4)), "log": (log - log.max()).tolist()})
+    rows += [dict(rows[0], id=100), dict(rows[0], id=101, log=[0.0, 0.0, 0.0], declared=None)]  # a repeat, and a tie
+    got = langid.fuse(spark.createDataFrame(rows, "id long, host string, site string, suffix string, declared string, n long, log array<double>"), names).collect()
+    want = fuse_brute(rows, names)
+    assert len(got) == len(rows)
+    for r in got:
+        lang, sure, accepted = want[r["id"]]
+        assert r["lang"] == lang and r["probability"] == pytest.approx(sure) and r["accepted"] == accepted
+
+
+def test_language_rows(spark):
+    """Repeated rows, columns of our own names, a very long text, a label's bound."""
+    docs = spark.createDataFrame([(i, f"the quick fox {i}" if i % 2 else f"der schnelle fuchs {i}", "en" if i % 2 else "de", "s", 1, "x", 0.5) for i in range(30)], "doc_id long, text string, lang string, source string, n int, host string, p double")
+    model = langid.fit(docs, rows=5)
+    assert model.languages == ["de", "en"]
+    odd = docs.limit(4).union(docs.limit(4)).union(spark.createDataFrame([(99, "the quick fox " * 50_000, None, None, 1, "x", 0.5), (98, None, "en", "s", 1, "x", 0.5)], docs.schema))
+    got = langid.text_languages(odd, model).toPandas()
+    assert len(got) == 10 and got.set_index("doc_id").loc[99, "lang"] == "en" and not got.set_index("doc_id").loc[98, "accepted"]
+    assert langid.text_languages(docs.limit(0), model).count() == 0
+
+
 def test_language(spark):
     words = {"en": "the quick brown fox jumps over lazy dogs with them", "de": "der schnelle braune fuchs springt über faule hunde und", "fr": "le rapide renard brun saute par dessus les chiens où"}
     docs = spark.createDataFrame([(i, f"{w} {w} {i}", k, "s") for k, w in words.items() for i in range(5)], "doc_id long, text string, lang string, source string")
@@ -455,6 +592,50 @@ def test_sharding(spark):
     assert shard(empty(spark)).count() == 0
 
 
+def test_sharding_keeps_groups_and_order(spark):
+    """Shards are ranges of the order by hashes; groups below the share stay whole; borders are as near as the histogram promises."""
+    rng = np.random.default_rng(16)
+    rows = [(i, f"text {rng.integers(150)} " * int(rng.integers(1, 3))) for i in range(3000)] + [(i, "hot") for i in range(5000, 5900)]
+    table = documents(spark, rows)
+    got = shard(table, shards=5, whole=0.02).toPandas().sort_values(["shard", "slot"])
+    keys = table.selectExpr("doc_id", "lpad(hex(xxhash64(text)), 16, '0') k0", "text").toPandas().set_index("doc_id")
+    ends = got.assign(k0=keys.loc[got["doc_id"], "k0"].tolist()).groupby("shard")["k0"].agg(["min", "max"])  # hexadecimal digits run like unsigned numbers
+    assert (ends["max"].to_numpy()[:-1] <= ends["min"].to_numpy()[1:]).all()
+    size, total = got.groupby("shard")["size"].sum(), got["size"].sum()
+    assert (size - total / 5).abs().max() <= (0.02 + 0.001) * total / 5 + 200
+    shards_of = got.assign(text=keys.loc[got["doc_id"], "text"].tolist()).groupby("text").agg(n=("shard", "nunique"), bytes=("size", "sum"))
+    assert (shards_of.loc[shards_of["bytes"] <= 0.02 * total / 5, "n"] == 1).all()
+    assert shard(documents(spark, [(1, "a" * 200_000), (1, "a" * 200_000), (None, None)]), shards=3)["size", "shard", "slot"].count() == 3
+
+
+def test_ranked(spark):
+    rng = np.random.default_rng(17)
+    rows = [(int(k), int(v), i) for i, (k, v) in enumerate(zip(rng.choice([1, 1, 1, 2, 3], 500), rng.integers(0, 9, 500)))]
+    got = ranked(spark.createDataFrame(rows, "k long, v long, i long"), "k", "v", "i").orderBy("rank").collect()
+    assert [(r["k"], r["v"], r["i"]) for r in got] == sorted(rows) and [r["rank"] for r in got] == list(range(500))
+
+
+def test_pipeline_rows(spark, tmp_path):
+    """Empty tables, repeated rows, null keys and columns of the pipeline's own names pass the stages; all but the last return the columns of documents."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row long, key string, cell string, predicted int"
+    words = "some plain words that are quite long and are told here in a row without an end"
+    rows = [(1, words, "en", "s", 1, 7, "a", "b", 1), (1, words, "en", "s", 1, 7, "a", "b", 1), (2, words.upper(), None, None, 1, None, "a", "b", 1), (None, "other words that nobody has said before, told once", "en", "s", 1, 7, "a", "b", 1), (3, None, "en", "s", 1, 7, "a", "b", 1), (4, "", "en", "s", 1, 7, "a", "b", 1)]
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, some in (("full", rows), ("none", [])):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}/0")
+        kept = []
+        for k, (_, stage) in enumerate(pipeline.STAGES):
+            docs = spark.read.parquet(f"{tmp_path}/{name}/{k}")
+            out = stage(spark, docs, str(tmp_path))
+            out.write.parquet(f"{tmp_path}/{name}/{k + 1}")
+            if k < 4:
+                assert out.columns == docs.columns
+            kept.append(spark.read.parquet(f"{tmp_path}/{name}/{k + 1}").count())
+        # no letters: gone; no toxic label: all stay; of three equal texts the largest doc_id; no near copies; two short texts
+        assert kept == ([4, 4, 2, 2, 2] if some else [0] * 5)
+
+
 def test_pipeline_keeps_what_brute_force_keeps(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = np.random.default_rng(5)
