@@ -1,18 +1,18 @@
 """Exact Jaccard join on word shingles by vertical partitioning.
 
-All shingles stand in one global order: those that a counting sketch calls frequent come last,
-and hashes order the rest. The order is cut into fragments, as many as two linked
-sets of a size class may differ in places, and some more. Linked sets then agree in a whole
-fragment, so that equal segments name the candidates. Each candidate pair's overlap is
-counted in coarse fragments of the order separately and summed.
-
-Components are what the join is for, so a bucket of equal segments first compares its
-members with one hub, the member that shares most segments. Where that leaves more than
-one component, and not just a few members, around a hub, those are named anew, by what they differ from the hub in: two
-sets that are linked differ from the hub in much the same elements, so they share one of the
-first few of these in an order that puts elements beside the hub's, and rare ones, first. Those names make new
-buckets, each with a hub of its own, and so on; no link between components is lost that way. What is still open
-after ``DEEP`` rounds, and groups of a few members, are compared pair by pair. Pairs that sizes and parities of their elements rule out aren't counted.
+All shingles stand in one global order: those of one set only come first, then rare ones, then those that
+a counting sketch calls frequent; hashes order the rest. Linked sets share one of the first shingles of
+each, as many as a set may lack of the other and one more, so those of them that several sets have name the candidates. The order
+is cut into fragments; each candidate pair's overlap is counted in each fragment separately and summed.
+
+Components are what the join is for, so a bucket of one name first compares its
+members with one hub, the member that shares most names. Where that leaves more than
+one component around a hub, its members are compared in blocks, by bit maps of parities that bound the
+difference of two sets; only what these don't rule out is counted. Members of a very large bucket are named anew
+instead, by what they differ from the hub in: two sets that are linked differ from the hub in much the
+same elements, so they share one of the first few of these in an order that puts elements beside the hub's, and rare
+ones, first. Those names make new buckets, each with a hub of its own. No link between components is lost
+that way; what is still large after ``DEEP`` rounds is compared in blocks too.
 """
 
 from __future__ import annotations
@@ -38,65 +38,24 @@ SKETCH_BITS = 18
 FREQUENT, FREQUENT_LEAST = 3.0, 48
 #: Fragments that overlaps are counted in.
 COARSE = 4
-RATIO = 1.5
-#: Rounds of new names for buckets that hold several components.
-DEEP = 2
-#: Members that are compared pair by pair at once.
-FEW = 64
-
-
-class Classes:
-    """Size classes, and how many fragments the order is cut into for each."""
-
-    def __init__(self, percent: int, top: int):
-        self.percent = percent
-        tops = [1]
-        while tops[-1] < top:
-            tops.append(max(tops[-1] + 1, int(tops[-1] * RATIO)))
-        self.tops = np.array(tops)
-
-    def differ(self, a, b):
-        """The most elements in which two linked sets of these sizes differ."""
-        return (100 - self.percent) * (a + b) // (100 + self.percent)
-
-    def of(self, n: int) -> list[tuple[int, int, int]]:
-        """(class, fragments, most differences) for each class that a set of n takes part in: its own and
-        the next one, if the latter holds sets that it may be linked with."""
-        out = []
-        k = int(np.searchsorted(self.tops, n))
-        most = 100 * n // self.percent
-        for j in (k, k + 1):
-            if j < len(self.tops) and (j == k or most > self.tops[k]):
-                top = int(self.tops[j])
-                d = self.differ(n, min(top, most))
-                all_d = self.differ(top, top)
-                if d:
-                    out.append((j, all_d + 1 + -(-all_d // 4), d))
-        return out
+#: Rounds of new names for buckets of more than ``MANY`` members.
+DEEP, MANY = 2, 16384
+#: Members of a block, and about as many of small groups in a task.
+BLOCK, TOGETHER = 1024, 4096
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def segments(own: np.ndarray, late: np.ndarray, classes: Classes) -> np.ndarray:
-    """Signatures of the segments by which a set is found. ``own``: its hashes, ascending; ``late``: which are frequent."""
-    out = []
-    n = len(own)
-    for k, parts, d in classes.of(n):
-        place = ((own >> np.uint64(33)) * np.uint64(parts)) >> np.uint64(31)
-        place = place + late.astype(np.uint64) * np.uint64(parts)
-        order = np.argsort(place, kind="stable") if late.any() else slice(None)
-        at, value = place[order], mix(own[order], 12)
-        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))[: d + 1]
-        nonempty = int((at[1:] != at[:-1]).sum()) + 1
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])
-        ends = np.append(np.flatnonzero(at[1:] != at[:-1]) + 1, n)[: len(first)]
-        salt = np.uint64(k * int(ROUND[40]) % (1 << 64))
-        out.append(mix(total[ends] - total[first] + mix(at[first] + salt, 14), 16))
-        if nonempty < d + 1:  # too few segments to be sure of an equal one: such sets are compared with one another
-            out.append(mix(np.array([k], np.uint64) + ROUND[41], 18))
-    return np.concatenate(out) if out else own[:0]
+def prefix(own: np.ndarray, shared: np.ndarray, late: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles that name a set, of those that are ``shared``; ``late``: which are frequent."""
+    some = own[shared]
+    if not len(some):
+        return some
+    most = len(own) - -(-percent * len(own) // 100) + 1
+    late = late[shared]
+    return np.concatenate([some[~late], some[late]])[: max(0, most - (len(own) - len(some)))]
 
 
 def _sketch(table: DataFrame) -> np.ndarray:
@@ -146,11 +105,10 @@ def _near(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
-def _links(pairs: DataFrame, marks: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of ``pairs`` (a, b): overlaps are counted by fragment, then summed. ``whole``: (node, fragment, n, hashes)."""
+def _links(near: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of the pairs ``near`` (a, b): overlaps are counted by fragment, then summed. ``whole``: (node, fragment, n, hashes)."""
     left = whole.select(F.col("node").alias("a"), "fragment", F.col("n").alias("na"), F.col("hashes").alias("ha"))
     right = whole.select(F.col("node").alias("b"), "fragment", F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-    near = stored(_near(pairs, marks, percent), "near")
     cut = near.withColumn("fragment", F.explode(F.array(*[F.lit(i) for i in range(COARSE)])))
     both = cut.join(left, ["a", "fragment"]).join(right, ["b", "fragment"])
     partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).cast("long").alias("part"))
@@ -203,16 +161,65 @@ def _renamed(rest: DataFrame, whole: DataFrame, common, percent: int, together:
     return out
 
 
-def _pair_by_pair(rest: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of the components that ``rest`` (hub, node, n, component) has around one hub, of sizes that may be linked."""
-    main = stored(rest.groupBy("hub", "component").count().groupBy("hub").agg(F.max(F.struct("count", "component")).alias("m")).select("hub", F.col("m.component").alias("main")), "main")
-    x = stored(rest.join(main, "hub").where("component <> main").select("hub", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), "strays")
-    y = rest.select("hub", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    more = x.join(y, "hub").where(f"ca <> cb and least(na, nb) * 100 >= greatest(na, nb) * {percent}")
-    return more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, deep: int = DEEP, name_bits: int = 64) -> DataFrame:
+def close_pairs(n: np.ndarray, component: np.ndarray, side: np.ndarray, parity: list[bytes], percent: int, same: bool):
+    """Places (x, y) of the sets that sizes and parities let be linked, of different components; and, unless ``same``, of different sides."""
+    order = np.argsort(n, kind="stable")
+    n, component, side = n[order], component[order], side[order]
+    length = np.array([len(parity[i]) for i in order])
+    out = [np.zeros((2, 0), np.int64)]
+    for size in np.unique(length):
+        mine = np.flatnonzero(length == size)
+        bits = np.frombuffer(b"".join(parity[order[i]] for i in mine), np.uint64).reshape(len(mine), -1)
+        longer = np.flatnonzero(length == 2 * size)
+        wide = np.frombuffer(b"".join(parity[order[i]] for i in longer), np.uint64).reshape(len(longer), -1) if len(longer) else None
+        if wide is not None:
+            wide = wide[:, : bits.shape[1]] ^ wide[:, bits.shape[1]:]
+        top = 100 * n[mine] // percent
+        for at, i in enumerate(mine):
+            for others, held, first in ((mine, bits, at + 1), (longer, wide, 0)):
+                last = int(np.searchsorted(n[others], top[at], "right")) if held is not None else 0
+                if last <= first:
+                    continue
+                j = others[first:last]
+                fine = component[j] != component[i]
+                if not same:
+                    fine &= side[j] != side[i]
+                j = j[fine]
+                if len(j):
+                    far = np.bitwise_count(held[first:last][fine] ^ bits[at]).sum(1, dtype=np.int64)
+                    j = j[far <= (100 - percent) * (n[j] + n[i]) // (100 + percent)]
+                    out.append(np.stack([np.full(len(j), i), j]))
+    return order[np.concatenate(out, axis=1)]
+
+
+def _in_blocks(rest: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the components that ``rest`` (hub, node, n, component) has around one hub, as far as sizes and parities let them be
+    linked. A large group is cut into blocks, each pair of which is a task; small groups share tasks."""
+    total = rest.count()
+    tasks = max(1, -(-total // TOGETHER))
+    ways = stored(rest.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ways")), "ways")
+    dealt = rest.join(ways, "hub").join(marks.select("node", "parity"), "node").withColumn("block", F.pmod(F.xxhash64("node"), "ways").cast("int"))
+    dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+    dealt = dealt.select("hub", F.when(F.col("ways") > 1, F.col("hub")).otherwise(F.pmod(F.xxhash64("hub"), F.lit(tasks))).alias("task"), F.least("block", "k").alias("x"), F.greatest("block", "k").alias("y"),
+                         "block", "node", "n", "component", "parity")
+
+    def compare(group: pa.Table) -> pa.Table:
+        hub, node, n, component, block, x, y = (group.column(k).to_numpy() for k in ("hub", "node", "n", "component", "block", "x", "y"))
+        parity, out = group.column("parity").to_pylist(), [np.zeros((2, 0), np.int64)]
+        order = np.argsort(hub, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(hub[order])) + 1):
+            if len(own) > 1:
+                i, j = close_pairs(n[own], component[own], block[own], [parity[k] for k in own], percent, x[own[0]] == y[own[0]])
+                out.append(np.sort(np.stack([node[own[i]], node[own[j]]]), axis=0))
+        a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.table({"a": a, "b": b})
+
+    near = stored(dealt.groupBy("task", "x", "y").applyInArrow(compare, "a long, b long").distinct(), "near")
+    discard(ways)
+    return near
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, deep: int = DEEP, many: int = MANY, name_bits: int = 64) -> DataFrame:
     """(key, n_shingles, component_id) for every row.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of fewer than ``words``
@@ -265,41 +272,31 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     table = table.select("id", "n", "node")
     sketch = _sketch(measured.where("slot is not null").select("slot", "counts", F.pmod(F.spark_partition_id(), F.lit(8)).alias("part")))
     limit = max(FREQUENT_LEAST, FREQUENT * sketch.mean())
-    top = table.agg(F.max("n")).first()[0] or 1
-    # what the tasks need: one bit a counter (32 KB), the classes
-    common = spark.sparkContext.broadcast((np.packbits(sketch >= limit), Classes(percent, int(100 * top / percent) + 1)))
-
-    def found(texts):
-        often, classes = common.value
-        often = np.unpackbits(often).astype(bool)
-        hashes, offsets = sets(texts, words)
-        nodes = told(hashes, offsets)
-        late = often[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-        for i in range(len(texts)):
-            a, b = offsets[i], offsets[i + 1]
-            yield i, nodes[i], hashes[a:b], segments(hashes[a:b], late[a:b], classes)
+    common = spark.sparkContext.broadcast((np.packbits(sketch >= limit),))  # one bit a counter: 32 KB
 
     def name(batches):
         for _, texts in blocks(batches, 0, BLOCK_CHARS):
-            rows = [(s, np.full(len(s), node)) for _, node, _, s in found(texts) if len(s)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate([r[0] for r in rows]))), pa.array(_signed(np.concatenate([r[1] for r in rows])))], ["key", "node"])
+            hashes, offsets = sets(texts, words)
+            nodes = np.repeat(told(hashes, offsets), np.diff(offsets))
+            if len(hashes):
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(hashes)), pa.array(_signed(nodes))], ["key", "node"])
 
+    # the shingles that several sets have
     named = source.select("text").mapInArrow(name, "key long, node long")
-    several = stored(named.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key"), "segments")
+    several = stored(named.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key"), "several")
     passing = spark.sparkContext.broadcast(bitmap(several))
 
     def take(batches):
         held, bits = passing.value
+        often = np.unpackbits(common.value[0]).astype(bool)
         for _, texts in blocks(batches, 0, BLOCK_CHARS):
-            rows = []
-            for _, node, hashes, s in found(texts):
-                s = s[among(held, bits, s)] if len(s) else s
-                if len(s):
-                    rows.append((s, np.full(len(s), node), np.full(len(s), len(hashes))))
-            if rows:
-                key_, node, n = map(np.concatenate, zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(key_)), pa.array(_signed(node)), pa.array(n, pa.int64())], ["key", "node", "n"])
+            hashes, offsets = sets(texts, words)
+            nodes, shared = told(hashes, offsets), among(held, bits, hashes)
+            late = often[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+            names = [prefix(hashes[a:b], shared[a:b], late[a:b], percent) for a, b in zip(offsets, offsets[1:])]
+            count = np.fromiter(map(len, names), np.int64, len(names))
+            if count.any():
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(names))), pa.array(_signed(np.repeat(nodes, count))), pa.array(np.repeat(np.diff(offsets), count))], ["key", "node", "n"])
 
     # equal texts name the same rows, which are one from here on
     taken = stored(source.select("text").mapInArrow(take, "key long, node long, n long").distinct(), "candidates")
@@ -344,8 +341,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         hubs = stored(hubs, "hubs")
         starred = members.join(hubs, "key").where("node <> hub")
         pairs = starred.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        before, links = links, stored(links.union(_links(pairs, marks, whole, percent)), "links")
-        discard(before)
+        near = stored(_near(pairs, marks, percent), "near")
+        before, links = links, stored(links.union(_links(near, whole, percent)), "links")
+        discard(before, near)
         groups = stored(components(links), "groups")
         # buckets that still hold more than one component
         placed = stored(members.join(groups, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")), "placed")
@@ -354,15 +352,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         discard(members, placed, hubs)
         if not rest.limit(1).count():
             break
-        # hubs of few members: pair by pair; and after the last round all
-        many = stored(rest.groupBy("hub").count().where(F.col("count") > FEW).select("hub"), "many") if step < deep else rest.where("false").select("hub")
-        before, links = links, stored(links.union(_links(_pair_by_pair(rest.join(many, "hub", "left_anti"), percent), marks, whole, percent)), "links")
-        discard(before)
-        if not many.limit(1).count():
+        large = stored(rest.groupBy("hub").count().where(F.col("count") > many).select("hub"), "large") if step < deep else rest.where("false").select("hub")
+        near = _in_blocks(rest.join(large, "hub", "left_anti"), marks, percent)
+        before, links = links, stored(links.union(_links(near, whole, percent)), "links")
+        discard(before, near)
+        if not large.limit(1).count():
             groups = stored(components(links), "groups")
             break
-        members = _renamed(rest.join(many, "hub", "left_semi"), whole, common, percent)
-        discard(rest, many)
+        members = _renamed(rest.join(large, "hub", "left_semi"), whole, common, percent)
+        discard(rest, large)
     discard(whole, marks)
 
     least = stored(ids.groupBy("node").agg(F.min("id").alias("least")), "least")

@@ -331,8 +331,8 @@ def test_jaccard_parities():
     assert jaccard.apart(jaccard.parities(a), jaccard.parities(a)) == 0
 
 
-@pytest.mark.parametrize("deep", [0, 1, 3])
-def test_jaccard_of_shared_passages(spark, deep):
+@pytest.mark.parametrize("deep,many", [(0, 9), (1, 9), (3, 2), (2, 16384)])
+def test_jaccard_of_shared_passages(spark, deep, many):
     """Texts that share a passage but are no copies, with small groups of copies among them: buckets of many components."""
     rng = np.random.default_rng(9)
     words = [f"w{i}" for i in range(3000)]
@@ -346,7 +346,7 @@ def test_jaccard_of_shared_passages(spark, deep):
                 w[int(rng.integers(len(w)))] = str(rng.choice(words))
             rows.append((len(rows), " ".join(w)))
     order = rng.permutation(len(rows)).tolist()
-    jaccard_agrees(spark, [(order[i], t) for i, t in rows], 5, 80, deep=deep)
+    jaccard_agrees(spark, [(order[i], t) for i, t in rows], 5, 80, deep=deep, many=many)
 
 
 def test_chat_links_quotes(spark):
