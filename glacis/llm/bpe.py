@@ -233,7 +233,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: st
 
     ``tokenizer`` is the file's path on the executors. A null text counts as empty:
     no ids, decoded to the empty text. Every row gives a row, repeated ones and null
-    keys too; other columns aren't read.
+    keys too; texts are read whole, a very long one being a block of its own; other columns aren't read, whatever
+    their names. An empty table gives no rows.
     """
 
     def run(batches):

@@ -84,7 +84,8 @@ def conversations(messages: DataFrame, conversation: str = "conv_id", turn: str
     from 0 in reply order: parents before replies, replies by turn. Messages of equal turn
     follow their text, and then the table; those with a null turn come first. Null texts count as empty, null roles
     stay null, and messages with a null conversation are each a conversation of their own.
-    Other columns aren't read; an empty table gives no rows.
+    Of sources of one hash and turn the last by place in the table is meant. Texts are read whole, however long. Other columns aren't read, whatever
+    their names; an empty table gives no rows.
     """
     table = messages.select(messages[conversation].alias("conv"), messages[turn].alias("turn"), messages[role].alias("role"), text_column(messages, text).alias("text"))
     table = stored(table.withColumn("uid", F.monotonically_increasing_id()).withColumn("own", F.coalesce(F.col("conv").cast("string"), F.concat(F.lit("\0"), F.col("uid").cast("string")))), "messages")

@@ -240,7 +240,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
 
     A null page counts as empty; an empty text is the result for pages without main
     text. Repeated rows, null keys and null addresses are kept as they are; other
-    columns aren't read. Unclosed tags and comments end with the page.
+    columns aren't read, whatever their names; an empty table gives no rows. Pages are read whole, however long. Unclosed
+    tags and comments end with the page.
     """
 
     def run(batches):

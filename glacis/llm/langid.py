@@ -172,8 +172,8 @@ def page_languages(pages: DataFrame, model: Model, key: str = "page_id", url: st
     """(key, host, declared, lang, probability, accepted) for every page.
 
     A null page counts as empty: no text evidence, so it is ``und`` and not accepted. A null or broken
-    address has the empty host. Repeated rows and null keys are rows of their own; other
-    columns aren't read; an empty table gives no rows.
+    address has the empty host. Repeated rows and null keys are rows of their own; of languages that are equally likely the first
+    by name is returned; pages are read whole, however long; other columns aren't read, whatever their names; an empty table gives no rows.
     """
     return fuse(measured_pages(pages, model, key, url, page), model.languages).withColumnRenamed("id", key)
 

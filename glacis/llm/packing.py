@@ -284,9 +284,10 @@ def pack(table: DataFrame, capacity: int = 2048, deme: int = 8192, islands: int
 def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = 2048) -> DataFrame:
     """One row a piece: key, piece, start, length, ids_crc32, sequence_id, offset.
 
-    ``tokenizer`` is the path of the rank file on the executors. A null text is
+    ``tokenizer`` is the path of the vocabulary or rank file on the executors. A null text is
     empty (one piece, the final 0); repeated rows and null keys are packed like
-    others. Only ``key`` and ``text`` are read. An empty table gives no rows.
+    others; texts of any length are cut into pieces. Only ``key`` and ``text`` are read, whatever the names of
+    others. An empty table gives no rows.
     """
     table = stored(pieces(docs, tokenizer, key, text, capacity).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     placed = stored(pack(table.select("uid", "length"), capacity), "placed")

@@ -147,7 +147,8 @@ def toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
     The score reads the whole text and nothing else. Null and empty texts, and texts
     without any letter, get the score of an average without evidence (the bias).
-    Repeated rows and null keys get rows of their own; an empty table gives none.
+    Repeated rows and null keys get rows of their own; a very long text is a block of its own; other
+    columns aren't read, whatever their names; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.table, model.bias))  # 4 MB, whatever the input
 
