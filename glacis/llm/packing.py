@@ -34,6 +34,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LONE = re.compile(r"(?<=\S) (?=\S)")
 #: Characters that are encoded together; parts of texts that are kept, after which keeping starts anew.
 BLOCK_CHARS, CACHE_CHUNKS = 1_000_000, 100_000
+#: Shares of the bins beside the injected ones that crossovers dissolve, the emptiest first, in turn.
+DISSOLVED = (0.05, 0.3, 0.6)
 #: Letters of a part that is worth keeping.
 LONG = 64
 #: The special token of the vocabulary: where a text holds it, it is one token.
@@ -159,7 +161,7 @@ def best_fit(order, sizes: list[int], capacity: int, bins=()) -> list[list[int]]
     return state.all()
 
 
-def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: int, rng, dissolved: float = 0.02) -> list[list[int]]:
+def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: int, rng, dissolved: float = 0.3) -> list[list[int]]:
     """Whole bins of ``b``, the fuller ones likelier, injected into ``a``.
 
     Bins of ``a`` that hold a piece of them are removed, and so is the given share of the emptiest of the rest;
@@ -209,7 +211,7 @@ def evolve(sizes: list[int], capacity: int, seed: int, elites=(), population: in
         a, b = rng.permutation(len(ranked))[:2]
         for x, y in ((a, b), (b, a)):
             made += 1
-            child = crossover(ranked[x][2], ranked[y][2], sizes, capacity, rng, 0.02 if made % 4 else 0.1)
+            child = crossover(ranked[x][2], ranked[y][2], sizes, capacity, rng, DISSOLVED[made % 3])
             got = score(child)
             if all(got != s for s, _, _ in ranked):  # a twin adds nothing
                 ranked.append((got, -len(pool) - made, child))
