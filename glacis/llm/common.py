@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,13 +81,21 @@ def scratch(spark: SparkSession):
 
 def bitmap(keys: DataFrame, most: int = 26) -> tuple[np.ndarray, int]:
     """A bit map of the hashes ``key``, of eight bits each and 2 ** ``most`` bits at most in all (8 MB); where it
-    fills up it only lets more through. With it the logarithm of its bits."""
+    fills up it only lets more through. With it the logarithm of its bits. It reaches the driver in pieces of 32 KB."""
     n = keys.count()
     bits = int(np.clip(np.ceil(np.log2(max(8 * n, 2))), 16, most))
-    rows = (keys.select(F.shiftrightunsigned("key", 64 - bits).alias("bit"))
-            .groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("held")).toPandas())
+    size = 1 << min(12, bits - 6)  # words of a piece
+
+    def piece(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(size, np.uint64)
+        own[pdf["word"].to_numpy() % size] = pdf["held"].to_numpy(np.int64).view(np.uint64)
+        return pd.DataFrame({"at": [int(pdf["word"].iloc[0]) // size], "held": [own.tobytes()]})
+
+    words = (keys.select(F.shiftrightunsigned("key", 64 - bits).alias("bit"))
+             .groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("held")))
     out = np.zeros(1 << (bits - 6), np.uint64)
-    out[rows["word"].to_numpy(np.int64)] = rows["held"].to_numpy(np.int64).view(np.uint64)
+    for r in words.groupBy(F.expr(f"word div {size}").alias("at")).applyInPandas(piece, "at long, held binary").collect():
+        out[r["at"] * size:(r["at"] + 1) * size] = np.frombuffer(r["held"], np.uint64)
     return out, bits
 
 

@@ -276,14 +276,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def name(batches):
         for _, texts in blocks(batches, 0, BLOCK_CHARS):
-            hashes, offsets = sets(texts, words)
-            nodes = np.repeat(told(hashes, offsets), np.diff(offsets))
+            hashes, _ = sets(texts, words)
             if len(hashes):
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(hashes)), pa.array(_signed(nodes))], ["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(hashes))], ["key"])
 
-    # the shingles that several sets have
-    named = source.select("text").mapInArrow(name, "key long, node long")
-    several = stored(named.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key"), "several")
+    # the shingles that several texts have; those of copies only are among them, which does no harm
+    several = stored(source.select("text").mapInArrow(name, "key long").groupBy("key").count().where("count > 1").select("key"), "several")
     passing = spark.sparkContext.broadcast(bitmap(several))
 
     def take(batches):
