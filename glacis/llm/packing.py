@@ -16,7 +16,6 @@ import bisect
 import json
 import re
 import zlib
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import blocks, byte_letters
-from .common import stored, text_column
+from .common import discard, stored, text_column
 
 #: The split pattern of byte-level BPE (a fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -202,7 +201,7 @@ def evolve(sizes: list[int], capacity: int, seed: int, elites=(), population: in
     rng = np.random.default_rng(seed)
     generations = max(generations, min(400, 40_000 // max(len(sizes), 1)))
     pool = [list(e) for e in elites]
-    while len(pool) < population:
+    while len(pool) < population and min(map(len, pool), default=bound + 1) > bound:
         pool.append(best_fit(rng.permutation(len(sizes)).tolist(), sizes, capacity))
     score = lambda one: fitness(one, sizes, capacity)
     ranked = sorted(((score(one), -i, one) for i, one in enumerate(pool)), reverse=True)
@@ -246,25 +245,22 @@ def _epoch(frame: DataFrame, capacity: int, islands: int, epoch: int) -> DataFra
 def islands_of(table: DataFrame, capacity: int = 2048, deme: int = 8192, islands: int = 2, epochs: int = 3) -> DataFrame:
     """The packings of all islands after the last epoch: rows (deme, island, uid, length, home, bin, bins, bound, made).
 
-    ``table`` has ``uid`` and ``length`` below ``capacity``. Demes whose best island is at its bound rest; in the others
-    each island is joined by the elite of the one before.
+    ``table`` has ``uid`` and ``length`` below ``capacity``. In each epoch an island is joined by the elite of the one
+    before; where one of them is at the deme's bound it stays as it is.
     """
     demes = max(1, -(-table.count() // deme))
     start = (table.withColumn("deme", F.pmod(F.xxhash64("uid"), F.lit(demes)))
              .withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
              .select("deme", "island", "uid", "length", F.lit(-1).alias("home"), F.lit(0).cast("long").alias("bin")))
     state = stored(_epoch(start, capacity, islands, 0), "elites")
-    done = []
+    columns = ["deme", "island", "uid", "length", "home", "bin"]
     for epoch in range(1, epochs):
-        best = stored(state.groupBy("deme").agg(F.min("bins").alias("least"), F.min("bound").alias("low")).where("least > low").select("deme"), "open")
-        if not best.limit(1).count():
+        if not state.groupBy("deme").agg(F.min("bins").alias("least"), F.min("bound").alias("low")).where("least > low").limit(1).count():
             break
-        done.append(state.join(best, "deme", "left_anti"))
-        columns = ["deme", "island", "uid", "length", "home", "bin"]
-        going = state.join(best, "deme").select(*columns)
-        guests = going.withColumn("island", ((F.col("island") + 1) % islands).cast("int"))
-        state = stored(_epoch(going.union(guests), capacity, islands, epoch), "elites")
-    return reduce(DataFrame.union, [*done, state])
+        guests = state.withColumn("island", ((F.col("island") + 1) % islands).cast("int"))
+        before, state = state, stored(_epoch(state.select(*columns).union(guests.select(*columns)), capacity, islands, epoch), "elites")
+        discard(before)
+    return state
 
 
 def pack(table: DataFrame, capacity: int = 2048, deme: int = 8192, islands: int = 2, epochs: int = 3) -> DataFrame:
