@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 import bisect
 import json
-import re
 import zlib
 
 import numpy as np
@@ -29,14 +28,10 @@ from .common import discard, stored, text_column
 
 #: The split pattern of byte-level BPE (a fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A space with no white space beside it. What Python takes for white space holds all that the pattern does.
-LONE = re.compile(r"(?<=\S) (?=\S)")
-#: Characters that are encoded together; parts of texts that are kept, after which keeping starts anew.
-BLOCK_CHARS, CACHE_CHUNKS = 1_000_000, 100_000
+#: Characters of a block of texts.
+BLOCK_CHARS = 1_000_000
 #: Shares of the bins beside the injected ones that crossovers dissolve, the emptiest first, in turn.
 DISSOLVED = (0.05, 0.3, 0.6)
-#: Letters of a part that is worth keeping.
-LONG = 64
 #: The special token of the vocabulary: where a text holds it, it is one token.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 
@@ -53,31 +48,13 @@ class ByteBPE:
         else:
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.chunks: dict[str, bytes] = {}
+        self.encoding = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if SPECIAL in text:
             return SPECIAL_ID.to_bytes(4, "little").join(self.ids(t) for t in text.split(SPECIAL))
-        # the pattern always splits before a space that stands alone between others: what lies between is encoded
-        # once; white space of other kinds, and runs of it, stay within one part
-        parts = text.split(" ")
-        if parts != text.split():
-            parts = LONE.split(text)
-        first, *rest = parts
-        out = [np.array(self.encode(first), "<u4").tobytes()]
-        chunks = self.chunks
-        for w in rest:
-            got = chunks.get(w)
-            if got is None:
-                got = np.array(self.encode(" " + w), "<u4").tobytes()
-                if len(w) <= LONG:
-                    chunks[w] = got
-            out.append(got)
-        if len(chunks) > CACHE_CHUNKS:
-            chunks.clear()
-        return b"".join(out)
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes() if text else b""
 
 
 _LOADED: dict[str, ByteBPE] = {}
