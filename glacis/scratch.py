@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def path(spark: SparkSession, name: str) -> str:
@@ -27,3 +27,10 @@ def _drop(spark: SparkSession, folder: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     except Exception:  # noqa: BLE001  the session may be gone by then
         pass
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written there and read again: what builds on it doesn't carry its plan along."""
+    at = path(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
