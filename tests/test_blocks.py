@@ -63,3 +63,11 @@ def test_factor_of_a_definite_system(spark):
     f = dense.factored(spark, 23, lambda a, b: k[a, b].copy(), 5)
     b = rng.normal(size=(23, 4))
     assert np.allclose(f.solve(b), np.linalg.solve(k, b)) and np.allclose(f.squares(b.copy()), (b * np.linalg.solve(k, b)).sum(0))
+
+
+def test_plausible_with_more_samples_than_one_task_takes(spark, monkeypatch):
+    cells, grid = bumpy(spark)
+    blocks(monkeypatch)
+    got = kriging.krige(samples(spark), cells, grid, "ordinary", variance=False)
+    values = samples(spark).toPandas()["val"]
+    assert kriging.plausible(got, values) and not kriging.plausible(got.union(spark.createDataFrame([(9, 9, 5e4, None)], got.schema)), values)
