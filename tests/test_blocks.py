@@ -27,7 +27,7 @@ def blocks(monkeypatch):
     monkeypatch.setattr(dense, "LINES", 7)
 
 
-@pytest.mark.parametrize(("method", "terms", "legacy"), [("ordinary", None, False), ("ordinary", None, True), ("universal", ["regional_linear"], False), ("universal", ["quadratic"], True), ("sia", None, False)])
+@pytest.mark.parametrize(("method", "terms", "legacy"), [("ordinary", None, False), ("ordinary", None, True), ("universal", ["regional_linear"], False), ("universal", ["quadratic"], True), ("sia", None, False), ("regression", None, False)])
 def test_kriging_in_blocks_is_that_of_one_task(spark, monkeypatch, method, terms, legacy):
     cells, grid = bumpy(spark)
     how = {"drift_terms": terms, "legacy_variance": legacy}
