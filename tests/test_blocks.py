@@ -71,3 +71,11 @@ def test_plausible_with_more_samples_than_one_task_takes(spark, monkeypatch):
     got = kriging.krige(samples(spark), cells, grid, "ordinary", variance=False)
     values = samples(spark).toPandas()["val"]
     assert kriging.plausible(got, values) and not kriging.plausible(got.union(spark.createDataFrame([(9, 9, 5e4, None)], got.schema)), values)
+
+
+def test_range_and_sill_of_any_number_of_samples():
+    rng = np.random.default_rng(9)
+    x, y, v = rng.uniform(0, 50, (3, kriging.MOST + 1))
+    x[:2], y[:2] = (0, 50), (0, 50)
+    a, sill, nugget, top = kriging.fitted(x, y, v)
+    assert (a, sill, nugget, top) == (pytest.approx(0.6 * 50 * 2**0.5), pytest.approx(v.var()), 0, pytest.approx(50 * 2**0.5))
