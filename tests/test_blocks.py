@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from glacis.grid import from_array
-from glacis.operators import dense, kriging
+from glacis.operators import dense, kriging, sampling, terrain, variogram
 
 
 def picks(spark, rows):
@@ -79,3 +79,29 @@ def test_range_and_sill_of_any_number_of_samples():
     x[:2], y[:2] = (0, 50), (0, 50)
     a, sill, nugget, top = kriging.fitted(x, y, v)
     assert (a, sill, nugget, top) == (pytest.approx(0.6 * 50 * 2**0.5), pytest.approx(v.var()), 0, pytest.approx(50 * 2**0.5))
+
+
+def test_pairs_of_blocks_are_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(variogram, "POINTS", 9)
+    rng = np.random.default_rng(10)
+    p, q = rng.uniform(-40, 40, (50, 2)), rng.normal(size=(50, 3))
+    p[7] = p[8]
+    points = spark.createDataFrame([(i, *map(float, p[i]), [float(v) for v in q[i]]) for i in range(50)], "pid long, x double, y double, products array<double>")
+    i, j = np.triu_indices(50, 1)
+    h = np.sqrt(((p[i] - p[j]) ** 2).sum(1))
+    k = np.where(h < 23, np.minimum(h // (23 / 5), 4), -1)
+    n, far, sums = variogram.binned_pairs(points, 23.0, 5, "products")
+    for b in range(5):
+        own = k == b
+        assert n[b] == own.sum() and far[b] == pytest.approx(h[own].sum()) and sums[b] == pytest.approx(((q[i] - q[j]) ** 2)[own].sum(0))
+
+
+def test_filtered_points_of_a_tall_grid_take_few_bands(spark):
+    """Lines run along the longer side: 200 rows of 6 columns are one band."""
+    rng = np.random.default_rng(11)
+    cells, grid = from_array(spark, rng.normal(size=(200, 6)).cumsum(0), 5, 5)
+    pts = picks(spark, rng.uniform(3, 27, (8, 3)))
+    got = terrain.lowpass_at(pts, cells, grid, [3.0, 0.0], "z")
+    for k, kc in enumerate((3.0, 0.0)):
+        want = {r["pid"]: r["z"] for r in sampling.bilinear(pts, terrain.lowpass(cells, grid, kc), grid, ["z"]).collect() if r["z"] is not None}
+        assert {r["pid"]: r["values"][k] for r in got.collect()} == pytest.approx(want)
