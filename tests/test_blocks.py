@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glacis.grid import from_array
-from glacis.operators import dense, kriging, sampling, terrain, variogram
+from glacis.operators import dense, finalize, kriging, sampling, terrain, variogram
 
 
 def picks(spark, rows):
@@ -105,3 +106,23 @@ def test_filtered_points_of_a_tall_grid_take_few_bands(spark):
     for k, kc in enumerate((3.0, 0.0)):
         want = {r["pid"]: r["z"] for r in sampling.bilinear(pts, terrain.lowpass(cells, grid, kc), grid, ["z"]).collect() if r["z"] is not None}
         assert {r["pid"]: r["values"][k] for r in got.collect()} == pytest.approx(want)
+
+
+def test_spline_in_blocks_is_that_of_one_task(spark, monkeypatch):
+    monkeypatch.setattr(dense, "LINES", 7)
+    cells, grid = bumpy(spark)
+    cells = cells.withColumn("inside", F.lit(True))
+    p = samples(spark).select("x", "y", F.col("val").alias("depth"))
+    want = finalize.blend_points(p, cells, grid).orderBy("r", "c").toPandas()
+    got = finalize.blend_points(p, cells, grid, most=20).orderBy("r", "c").toPandas()
+    assert len(got) == grid.nrows * grid.ncols and np.allclose(got["thickness"], want["thickness"], atol=1e-6) and (got["thickness"] > 1).any()
+
+
+def test_factor_of_a_system_that_is_not_definite(spark):
+    rng = np.random.default_rng(12)
+    q = rng.normal(size=(23, 23))
+    k = q @ q.T + np.eye(23) - 6 * np.diag(np.arange(23) % 4 == 1)
+    f = dense.factored(spark, 23, lambda a, b: k[a, b].copy(), 5)
+    b = rng.normal(size=(23, 4))
+    assert (np.linalg.eigvalsh(k) < 0).any()
+    assert np.allclose(f.solve(b), np.linalg.solve(k, b)) and np.allclose(f.squares(b.copy()), (b * np.linalg.solve(k, b)).sum(0))
