@@ -1,9 +1,11 @@
 """Many samples: systems in blocks give what one task's systems give."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from glacis import queries
 from glacis.grid import from_array
 from glacis.operators import dense, finalize, kriging, sampling, terrain, variogram
 
@@ -126,3 +128,13 @@ def test_factor_of_a_system_that_is_not_definite(spark):
     b = rng.normal(size=(23, 4))
     assert (np.linalg.eigvalsh(k) < 0).any()
     assert np.allclose(f.solve(b), np.linalg.solve(k, b)) and np.allclose(f.squares(b.copy()), (b * np.linalg.solve(k, b)).sum(0))
+
+
+@pytest.mark.parametrize("name", ["facade_migrate"])
+def test_facade_in_blocks_is_that_of_one_task(spark, monkeypatch, name):
+    run = lambda: queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
+    want = run()
+    monkeypatch.setattr(kriging, "MOST", 5)
+    monkeypatch.setattr(dense, "LINES", 3)
+    got, keys = run(), list(want.columns[:2] if "r" in want else want.columns[:1])
+    pd.testing.assert_frame_equal(got.sort_values(keys, ignore_index=True), want.sort_values(keys, ignore_index=True), atol=2e-4, rtol=0)
