@@ -130,7 +130,7 @@ def test_factor_of_a_system_that_is_not_definite(spark):
     assert np.allclose(f.solve(b), np.linalg.solve(k, b)) and np.allclose(f.squares(b.copy()), (b * np.linalg.solve(k, b)).sum(0))
 
 
-@pytest.mark.parametrize("name", ["facade_migrate", "facade_interpolate", "facade_finalize"])
+@pytest.mark.parametrize("name", ["facade_migrate", "facade_interpolate", "facade_finalize", "facade_blend"])
 def test_facade_in_blocks_is_that_of_one_task(spark, monkeypatch, name):
     run = lambda: queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
     want = run()
