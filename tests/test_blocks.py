@@ -138,3 +138,12 @@ def test_facade_in_blocks_is_that_of_one_task(spark, monkeypatch, name):
     monkeypatch.setattr(dense, "LINES", 3)
     got, keys = run(), list(want.columns[:2] if "r" in want else want.columns[:1])
     pd.testing.assert_frame_equal(got.sort_values(keys, ignore_index=True), want.sort_values(keys, ignore_index=True), atol=2e-4, rtol=0)
+
+
+def test_reconstruction_in_blocks_is_that_of_one_task(spark, monkeypatch):
+    """Both krigings of a run: of travel times with a quadratic drift, of depths with the slope's and zeros on the margin."""
+    run = lambda: queries.reconstruction(spark, "/root/testdata/sf0.001").toPandas().sort_values(["r", "c"], ignore_index=True)
+    want = run()
+    monkeypatch.setattr(kriging, "MOST", 5)
+    monkeypatch.setattr(dense, "LINES", 3)
+    pd.testing.assert_frame_equal(run(), want, atol=2e-4, rtol=0)
