@@ -147,3 +147,13 @@ def test_reconstruction_in_blocks_is_that_of_one_task(spark, monkeypatch):
     monkeypatch.setattr(kriging, "MOST", 5)
     monkeypatch.setattr(dense, "LINES", 3)
     pd.testing.assert_frame_equal(run(), want, atol=2e-4, rtol=0)
+
+
+@pytest.mark.parametrize("name", ["kriging_linear"])
+def test_kriging_query_in_blocks_is_that_of_one_task(spark, monkeypatch, name):
+    run = lambda: queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
+    want = run()
+    monkeypatch.setattr(kriging, "MOST", 5)
+    monkeypatch.setattr(dense, "LINES", 3)
+    got, keys = run(), list(want.columns[:2] if "r" in want else want.columns[:1])
+    pd.testing.assert_frame_equal(got.sort_values(keys, ignore_index=True), want.sort_values(keys, ignore_index=True), atol=2e-4, rtol=0)
