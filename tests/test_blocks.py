@@ -149,7 +149,7 @@ def test_reconstruction_in_blocks_is_that_of_one_task(spark, monkeypatch):
     pd.testing.assert_frame_equal(run(), want, atol=2e-4, rtol=0)
 
 
-@pytest.mark.parametrize("name", ["kriging_linear"])
+@pytest.mark.parametrize("name", ["kriging_linear", "kriging_universal"])
 def test_kriging_query_in_blocks_is_that_of_one_task(spark, monkeypatch, name):
     run = lambda: queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
     want = run()
