@@ -141,7 +141,7 @@ def test_facade_in_blocks_is_that_of_one_task(spark, monkeypatch, name):
 
 
 def test_reconstruction_in_blocks_is_that_of_one_task(spark, monkeypatch):
-    """Both krigings of a run: of travel times with a quadratic drift, of depths with the slope's and zeros on the margin."""
+    """Both krigings of a run (takes a minute or more): of travel times with a quadratic drift, of depths with the slope's and zeros on the margin."""
     run = lambda: queries.reconstruction(spark, "/root/testdata/sf0.001").toPandas().sort_values(["r", "c"], ignore_index=True)
     want = run()
     monkeypatch.setattr(kriging, "MOST", 5)
